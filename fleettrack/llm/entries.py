@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -23,15 +24,88 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.withColumn("rejected", F.col("p_toxic") >= 0.5)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_boilerplate
+
+    out = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op4_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import stored
+    from .transcripts import learn, lines_of, recover, spoken_text
+
+    lines = stored(lines_of(table(spark, sf_dir, "conversations"), spoken_text()), "transcript-lines")
+    turns = recover(lines, learn(lines))
+    return turns.select(F.col("conv").alias("conv_id"), "turn_no", F.col("first_turn").alias("turn"), "role", "n_lines", "rendered")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out_rows, learn, predict
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, learn(docs.where(~held_out_rows())), held_out_rows())
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op9_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .metric_join import range_join
+
+    return range_join(table(spark, sf_dir, "embeddings"))
+
+
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudo_likelihood import pseudo_likelihood
+
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_packing": op1_mixture_packing,
+    "op2_toxicity": op2_toxicity,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_transcripts": op4_transcripts,
+    "op5_language_id": op5_language_id,
+    "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_metric_join": op9_metric_join,
+    "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_line_dedup": """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, text, source, string_split(text, chr(10)) AS a FROM documents),
+l AS (SELECT source, unnest(a) AS line FROM t),
+b AS (SELECT trim(line, ' ') AS line FROM l WHERE length(trim(line, ' ')) >= 30 GROUP BY 1 HAVING count(DISTINCT source) >= 5),
+p AS (SELECT r, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM t),
+k AS (SELECT p.r, count(*) AS kept, string_agg(p.line, chr(10) ORDER BY i) AS s FROM p LEFT JOIN b ON b.line = trim(p.line, ' ') WHERE b.line IS NULL GROUP BY 1),
+o AS (SELECT t.*, CASE WHEN length(s) >= (1 - CAST(0.4 AS DOUBLE)) * length(text) AND kept < len(a) THEN s END AS s, kept FROM t LEFT JOIN k USING (r))
+SELECT doc_id, CAST(coalesce(len(a), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN s IS NULL THEN 0 ELSE len(a) - kept END AS BIGINT) AS n_removed,
+  CAST(length(coalesce(s, text)) AS BIGINT) AS n_kept_chars, md5(coalesce(s, text)) AS text_md5 FROM o""",
+}
