@@ -101,9 +101,9 @@ def hashes_of(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class PieceTable:
-    """Pieces seen by this process, by hash: their token counts and ids. Emptied when it holds `most` pieces."""
+    """Pieces seen by this process, by hash: their token counts and ids. When it holds `most` pieces, the half seen most often stays."""
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = 1_500_000):
+    def __init__(self, ranks_path: str, pattern: str, most: int = 400_000):
         import tiktoken
 
         with open(ranks_path, "rb") as file:
@@ -117,12 +117,27 @@ class PieceTable:
         self.pool = np.empty(1 << 16, np.uint16)
         self.at = np.empty(1 << 15, np.int64)
         self.size = np.empty(1 << 15, np.int32)
+        self.hits = np.zeros(1 << 15, np.int32)
         self.used = 0
 
+    def shrink(self) -> None:
+        n = len(self.place)
+        cut = max(2, int(np.partition(self.hits[:n], n // 2)[n // 2]))
+        stay = np.flatnonzero(self.hits[:n] >= cut)[: self.most // 2]
+        number = np.full(n, -1)
+        number[stay] = np.arange(len(stay))
+        at, size, pool, hits = self.at[stay], self.size[stay], self.pool, self.hits[stay]
+        place = {h: k for h, row in self.place.items() if (k := int(number[row])) >= 0}
+        self.clear()
+        ends = np.cumsum(size, dtype=np.int64)
+        self.used = int(ends[-1]) if len(ends) else 0
+        self.pool = pool[np.repeat(at - (ends - size), size) + np.arange(self.used)]
+        self.at, self.size, self.hits, self.place = ends - size, size, hits // 2, place
+
     def rows(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """For each piece its row in `at` and `size`."""
         if len(self.place) > self.most:
-            self.clear()
+            self.shrink()
         unique, first, inverse = np.unique(hashes_of(codes, starts), return_index=True, return_inverse=True)
         rows = np.fromiter(map(self.place.get, unique.tolist(), [-1] * len(unique)), np.int64, len(unique))
         ends = np.append(starts[1:], len(codes))
@@ -137,16 +152,18 @@ class PieceTable:
                 found.extend(ids)
                 sizes.append(len(ids))
             k, rows_new = len(self.place), np.arange(len(self.place), len(self.place) + len(new))
-            while self.used + len(found) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            while k + len(new) > len(self.at):
-                self.at, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.size))
+            if self.used + len(found) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used + 2 * len(found) + 1024, np.uint16)])
+            if k + len(new) > len(self.at):
+                self.at, self.size, self.hits = (np.concatenate([x[:k], np.zeros(k + 2 * len(new) + 1024, x.dtype)]) for x in (self.at, self.size, self.hits))
+            self.hits[rows_new] = 0
             self.pool[self.used : self.used + len(found)] = found
             self.size[rows_new] = sizes
             self.at[rows_new] = self.used + np.cumsum(sizes) - sizes
             self.used += len(found)
             rows[new] = rows_new
             self.place.update(zip(unique[new].tolist(), rows_new.tolist(), strict=True))
+        self.hits[rows] += 1
         return rows[inverse]
 
 
@@ -160,7 +177,7 @@ def piece_table(ranks_path: str, pattern: str) -> PieceTable:
     return _tables[ranks_path]
 
 
-def chunks(texts: list[str], chars: int = 1_000_000):
+def chunks(texts: list[str], chars: int = 500_000):
     """(first, last) index ranges of texts that hold about `chars` characters together."""
     first, held = 0, 0
     for k, text in enumerate(texts):
