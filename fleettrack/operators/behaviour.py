@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .grouped import grouped
 from .summary import grouped_folds
 
 
@@ -78,7 +79,6 @@ def baum_welch(x: np.ndarray, k: int, rounds: int = 100, tol: float = 1e-6):
 
 
 def _by_trip(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], extra: list[tuple[str, T.DataType]], fit) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in extra]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order), kind="stable")
@@ -92,7 +92,7 @@ def _by_trip(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Se
                 out[name] = pd.Series(full, index=pdf.index)
         return pdf.assign(**out)
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return grouped(df, by, extra, run)
 
 
 def gaussian_thresholds(df: DataFrame, speed: str, by: Sequence[str], order: Sequence[str], k: int = 3) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import KNOTS_PER_MS
+from .grouped import grouped
 from .track import EARTH_M
 
 MILE_M = 1852.0
@@ -51,8 +52,7 @@ def scan(lon: np.ndarray, lat: np.ndarray, seconds: np.ndarray | None, limit: fl
 
 
 def _grouped(df: DataFrame, by: Sequence[str], out: str, fn) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())])
-    return df.groupBy(*by).applyInPandas(fn, schema)
+    return grouped(df, by, [(out, T.BooleanType())], fn)
 
 
 def implausible_speed(df: DataFrame, lon: str, lat: str, time: str, by: Sequence[str], order: Sequence[str], most_knots: float = 25, out: str = "whacky") -> DataFrame:
@@ -78,7 +78,6 @@ def implausible_distance(df: DataFrame, lon: str, lat: str, by: Sequence[str], o
 def planar_speed_filter(df: DataFrame, x: str = "x", y: str = "y", time: str = "time", device: str = "device_id", order: Sequence[str] = ("time", "seq"), most_knots: float = 25) -> DataFrame:
     """Drop all pings of a device that are too fast, recompute, and repeat until none is; adds dx, dy, dt, dd and speed (knots)."""
     names = ["dx", "dy", "dt", "dd", "speed"]
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order), kind="stable")
@@ -92,7 +91,7 @@ def planar_speed_filter(df: DataFrame, x: str = "x", y: str = "y", time: str = "
                 return pdf.assign(**{n: pd.Series(v, index=pdf.index).where(~np.isnan(v), None) for n, v in zip(names, (dx, dy, dt, dd, speed), strict=True)})
             pdf = pdf[~bad]
 
-    return df.groupBy(device).applyInPandas(run, schema)
+    return grouped(df, [device], [(n, T.DoubleType()) for n in names], run)
 
 
 def rms_speed_flags(df: DataFrame, lon: str, lat: str, time: str, by: Sequence[str], order: Sequence[str], most_knots: float = 20, out: str = "whacky") -> DataFrame:

