@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Links that one task writes in a round; small tables are written by few tasks.
+PER_TASK = 100_000
+
+
+def _star(edges: DataFrame, large: bool, width: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")  # stored: so the join has its own exchanges, which Spark can split
+    low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(width), "least")  # stored: so the join has its own exchanges, which Spark can split
     joined = both.join(low, "a")
     if large:
         return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -22,17 +26,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node with links down has one only, and none up: each link then leads to its component."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up")))
+    odd = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.count(F.lit(1)).alias("n")).where((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("n") > 1)))
+    return not odd.agg(F.count(F.lit(1))).first()[0]
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges` (a, b long): component is the smallest node reachable."""
     now = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    width = max(4, -(-now.count() // PER_TASK))
     for _ in range(most_rounds):
-        if not mark[0]:
-            break
-        now = stored(_star(_star(now, True), False), "edges")
-        then, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if then == mark:
+        if _are_stars(now):
             break
+        now = stored(_star(_star(now, True, width), False, width).coalesce(width), "edges")
     else:
         raise RuntimeError("components did not settle")
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

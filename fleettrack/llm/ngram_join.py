@@ -269,7 +269,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: int = 80, id_col:
     families = components(prefix.join(least, "token").where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")))
     families = families.withColumnRenamed("component", "family")
     counts = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("blocks"))
-    counts = stored(counts, "family-sizes")
+    counts = stored(counts.coalesce(64), "family-sizes")
     placed = held.join(families, "node").join(counts, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     now = stored(placed.select("node", "n", "tokens", "family", "blocks", "block", F.col("node").alias("comp")), "families")
     walk = _trie_join(share)
@@ -287,10 +287,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: int = 80, id_col:
                 walkers = here.join(chosen, "node", "left_semi")  # a component's id is one of its members
             else:
                 largest = sizes.groupBy("family").agg(F.max(F.struct("members", F.negate("comp").alias("c"))).alias("m")).select("family", F.negate(F.col("m.c")).alias("top"))
-                walkers = here.join(stored(largest, "largest"), "family").where("comp != top")
+                walkers = here.join(stored(largest.coalesce(16), "largest"), "family").where("comp != top")
             salted = walkers.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)))
             chunk = walkers.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("parts"))
-            chunk = stored(chunk, "walker-parts")
+            chunk = stored(chunk.coalesce(16), "walker-parts")
             walkers = salted.join(chunk, "family").withColumn("part", (F.col("part") % F.col("parts")).cast("int"))
             walkers = walkers.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             held_here = here.join(chunk, "family").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
