@@ -30,7 +30,7 @@ BUCKETS = 1 << 20
 
 
 def features_of(word: str) -> set[int]:
-    parts = {word} | {f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k}
+    parts = {word} | {f"{word[:k]}*" for k in (4, 5, 6) if len(word) >= k}
     return {zlib.crc32(p.encode("utf-8", "replace")) % BUCKETS for p in parts}
 
 
@@ -47,6 +47,18 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(np.asarray(score)[:, None] - t[None, :], -40, 40)))
 
 
+def distinct_rows(rows: list[np.ndarray]) -> list[int]:
+    """Numbers of the rows but for near copies: those whose smallest scrambled features are the same as of two rows before."""
+    seen: dict[tuple, int] = {}
+    out = []
+    for k, r in enumerate(rows):
+        key = tuple(np.sort((r * 0x9E3779B1 + 0x7F4A7C15) % 0xFFFFFFFB)[:3].tolist())
+        seen[key] = seen.get(key, 0) + 1
+        if seen[key] <= 2:
+            out.append(k)
+    return out
+
+
 def grades(rows: list[np.ndarray], toxic: np.ndarray, levels: int) -> np.ndarray:
     """0 for texts that are not toxic; toxic ones by the number of their telling features."""
     bad, good = (np.bincount(np.concatenate([rows[k] for k in np.flatnonzero(toxic == y)]), minlength=BUCKETS) for y in (1, 0))
@@ -58,7 +70,7 @@ def grades(rows: list[np.ndarray], toxic: np.ndarray, levels: int) -> np.ndarray
     return out
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, most_features: int = 2048, l2: float = 2e-4, steps: int = 400, rate: float = 0.1) -> Ordinal:
+def fit(rows: list[np.ndarray], grade: np.ndarray, most_features: int = 2048, l2: float = 5e-5, steps: int = 400, rate: float = 0.1) -> Ordinal:
     """Proportional-odds model by Adam on the log-likelihood; features by how far they are from independent of grade > 0."""
     if len(rows) == 0 or grade.min() == grade.max():
         return Ordinal()
@@ -66,7 +78,7 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, most_features: int = 2048, l2
     n_bad, n_good = int((grade > 0).sum()), int((grade == 0).sum())
     both = bad + good
     share = both * n_bad / (n_bad + n_good)
-    chi = np.where((both >= 4) & (bad > 2 * share), (bad - share) ** 2 / np.maximum(share, 1e-9), 0)
+    chi = np.where((bad >= 5) & (bad > 3 * share), (bad - share) ** 2 / np.maximum(share, 1e-9), 0)
     chosen = np.argsort(-chi, kind="stable")[:most_features]
     chosen = np.sort(chosen[chi[chosen] > 0])
     if not len(chosen):
@@ -127,6 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, levels: int
     rows = rows.orderBy("_k", "_i").limit(2 * max_rows).select("toxic", "text").mapInArrow(_featurised, "toxic int, features binary").collect()
     sets = [np.frombuffer(r["features"], "<u4").astype(np.int64) for r in rows]
     toxic = np.array([int(r["toxic"] > 0) for r in rows], np.int64)
+    kept = distinct_rows(sets)
+    sets, toxic = [sets[k] for k in kept], toxic[kept]
     if not len(toxic) or toxic.min() == toxic.max():
         return Ordinal()
     return fit(sets, grades(sets, toxic, levels))
