@@ -29,9 +29,9 @@ def _capped(df: DataFrame, x: str, caps: DataFrame, by: Sequence[str], out: str
 def quartile_caps(df: DataFrame, x: str, by: Sequence[str] = (), multiplier: float = 1.5) -> DataFrame:
     """(by..., _cap): exp of the lesser of the largest log and the third quartile plus `multiplier` interquartile ranges of the logs."""
     logs = df.where(F.col(x) >= 0).withColumn("_l", log_inf(F.col(x).cast("double")))
-    q = logs.groupBy(*by).agg(F.percentile("_l", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.max("_l").alias("m"))
-    fence = F.col("q")[1] + (F.col("q")[1] - F.col("q")[0]) * multiplier
-    return q.select(*by, F.exp(F.when(F.isnan(fence), F.col("m")).otherwise(F.least(F.col("m"), fence))).alias("_cap"))
+    q = logs.groupBy(*by).agg(F.percentile("_l", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.max("_l").alias("_most"))
+    fence = F.col("_q")[1] + (F.col("_q")[1] - F.col("_q")[0]) * multiplier
+    return q.select(*by, F.exp(F.when(F.isnan(fence), F.col("_most")).otherwise(F.least(F.col("_most"), fence))).alias("_cap"))
 
 
 def cap_quartile(df: DataFrame, x: str, by: Sequence[str] = (), multiplier: float = 1.5, out: str | None = None) -> DataFrame:
@@ -55,12 +55,12 @@ def gap_caps(df: DataFrame, x: str, by: Sequence[str] = (), step_limit: float =
     Without a larger gap, or with larger gaps only, it is the largest value; without positive values 0.
     """
     v = F.col(x).cast("double")
-    distinct = df.where(v > 0).select(*by, v.alias("v")).distinct()
-    w = Window.partitionBy(*by).orderBy("v")
-    gaps = distinct.withColumn("gap", F.log10("v") - F.log10(F.lag("v").over(w)))
-    good = F.max(F.when(F.col("gap") <= step_limit, F.col("v")))
-    caps = gaps.groupBy(*by).agg(F.max("v").alias("m"), good.alias("g"), F.max("gap").alias("widest"))
-    caps = caps.select(*by, F.when((F.col("widest") > step_limit) & F.col("g").isNotNull(), F.col("g")).otherwise(F.col("m")).alias("_cap"))
+    distinct = df.where(v > 0).select(*by, v.alias("_v")).distinct()
+    w = Window.partitionBy(*by).orderBy("_v")
+    gaps = distinct.withColumn("_gap", F.log10("_v") - F.log10(F.lag("_v").over(w)))
+    good = F.max(F.when(F.col("_gap") <= step_limit, F.col("_v")))
+    caps = gaps.groupBy(*by).agg(F.max("_v").alias("_most"), good.alias("_good"), F.max("_gap").alias("_widest"))
+    caps = caps.select(*by, F.when((F.col("_widest") > step_limit) & F.col("_good").isNotNull(), F.col("_good")).otherwise(F.col("_most")).alias("_cap"))
     every = df.groupBy(*by).agg(F.lit(0.0).alias("_zero")) if by else df.sparkSession.range(1).select(F.lit(0.0).alias("_zero"))
     filled = _attach(every, caps, by) if by else every.join(caps, F.lit(True), "left")
     return filled.select(*by, F.coalesce("_cap", "_zero").alias("_cap"))

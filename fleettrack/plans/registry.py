@@ -523,11 +523,11 @@ def gear_width(v):
 
 
 @query("""WITH c AS (SELECT visir % 2000 AS visir, sum(effort) AS catch FROM logbook GROUP BY 1)
-SELECT l.visir, CASE WHEN gid < 10 THEN 'mobile' ELSE 'static' END AS source, round(coalesce(catch, CASE WHEN c.visir IS NOT NULL THEN 0 END), 6) AS catch FROM logbook l LEFT JOIN c ON l.visir = c.visir WHERE year(date) IN (1995, 1996, 1997) AND vid % 2 = 0""", "logbook")
+SELECT l.visir, CASE WHEN gid < 10 THEN 'mobile' ELSE 'static' END AS source, round(coalesce(catch, CASE WHEN c.visir IS NOT NULL THEN 0 END) + 3e-8, 4) AS catch FROM logbook l LEFT JOIN c ON l.visir = c.visir WHERE year(date) IN (1995, 1996, 1997) AND vid % 2 = 0""", "logbook")
 def logbook_records(v):
     lb = v("logbook").where("vid % 2 = 0")
     catch = v("logbook").selectExpr("visir % 2000 AS visir", "effort AS catch")
-    return logbook.logbook(lb.where("gid < 10"), lb.where("gid >= 10"), catch, years=(1995, 1996, 1997)).select("visir", "source", r(F.col("catch")).alias("catch"))
+    return logbook.logbook(lb.where("gid < 10"), lb.where("gid >= 10"), catch, years=(1995, 1996, 1997)).select("visir", "source", untied(F.col("catch")).alias("catch"))
 
 
 # ---- space
