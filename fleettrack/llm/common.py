@@ -33,10 +33,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables that `stored` has made so far, but the last `keep`; for callers whose results are already written."""
-    while len(_made) > keep:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop(0))
+def mark() -> int:
+    """How many tables `stored` has made; for `made_since`."""
+    return len(_made)
+
+
+def made_since(number: int) -> list[str]:
+    return _made[number:]
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that no frame in use reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -108,4 +108,19 @@ k AS (SELECT p.r, count(*) AS kept, string_agg(p.line, chr(10) ORDER BY i) AS s
 o AS (SELECT t.*, CASE WHEN length(s) >= (1 - CAST(0.4 AS DOUBLE)) * length(text) AND kept < len(a) THEN s END AS s, kept FROM t LEFT JOIN k USING (r))
 SELECT doc_id, CAST(coalesce(len(a), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN s IS NULL THEN 0 ELSE len(a) - kept END AS BIGINT) AS n_removed,
   CAST(length(coalesce(s, text)) AS BIGINT) AS n_kept_chars, md5(coalesce(s, text)) AS text_md5 FROM o""",
+    "op8_ngram_jaccard": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(a[i:i + 4], ' ') AS g FROM (SELECT doc_id, a, unnest(generate_series(1, greatest(len(a) - 4, 1))) AS i FROM w WHERE len(a) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS c FROM n UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.node AND r.c < e.y)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, coalesce(min(r.c), d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.node = d.doc_id GROUP BY 1""",
+    "op9_metric_join": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS c FROM v UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.node AND r.c < l.y),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY 1), c AS (SELECT node, min(c) AS c FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN c ON node = vec_id LEFT JOIN n ON n.x = vec_id""",
 }

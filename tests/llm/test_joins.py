@@ -128,3 +128,21 @@ def test_metric_join(spark):
         got = range_join(df, per_cell=per_cell).collect()
         assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {r[0]: (n[r[0]], u.find(r[0]), u.find(r[0]) == r[0]) for r in rows}
     assert range_join(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op8_ngram_jaccard", "op9_metric_join"])
+def test_against_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    from fleettrack.llm.entries import QUERIES, SQL
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for f in glob.glob(f"{sf}/*.parquet"):
+        c.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    got = QUERIES[name](spark, sf)
+    want = c.execute(f"select {', '.join(got.columns)} from ({SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
