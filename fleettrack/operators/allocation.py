@@ -27,17 +27,24 @@ def _null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFra
 
 def event_steps(trails: DataFrame, events: DataFrame) -> DataFrame:
     """Events with `step`: 1 if a fishing ping of the trip has its day and rectangle; 2 if it has no date and one has its rectangle; 3 if the trip has fishing pings; else 9999."""
-    fishing = trails.where("state = 1").select(*TRIP, F.to_date("time").alias("_date"), F.col("ir").alias("_ir"))
-    days = fishing.groupBy(*TRIP, F.col("_ir").alias("LE_RECT")).agg(F.collect_set("_date").alias("_days"))
-    trips = fishing.select(*TRIP).distinct().withColumn("_fished", F.lit(True))
-    known = _null_safe(events, trips, TRIP, "left")
-    known = _null_safe(known, days, [*TRIP, "LE_RECT"], "left")
-    same = F.col("LE_RECT").isNotNull() & F.col("_days").isNotNull()
-    step = (
-        F.when(same & F.col("date").isNotNull() & F.array_contains("_days", F.col("date")), 1)
-        .when(same & F.col("date").isNull(), 2).when(F.col("_fished"), 3).otherwise(9999)
-    )
-    return known.withColumn("step", step).drop("_days", "_fished")
+    places = F.collect_set(F.struct(F.col("ir").alias("r"), F.to_date("time").alias("d")))
+    fished = trails.where("state = 1").groupBy(*TRIP).agg(places.alias("_places"))
+    known = _null_safe(events, fished, TRIP, "left")
+    there = F.exists("_places", lambda x: x.r == F.col("LE_RECT"))
+    then = F.exists("_places", lambda x: (x.r == F.col("LE_RECT")) & (x.d == F.col("date")))
+    step = F.when(then, 1).when(F.col("date").isNull() & there, 2).when(F.col("_places").isNotNull(), 3).otherwise(9999)
+    return known.withColumn("step", step).drop("_places")
+
+
+def _sums_by_trip(steps: DataFrame) -> DataFrame:
+    """One row for each trip: by rectangle the sums (kg, eu) of step 1 by day and of step 2, and the sum of step 3."""
+    rect, day = F.when(F.col("step") < 3, F.col("LE_RECT")), F.when(F.col("step") == 1, F.col("date"))
+    parts = steps.where("step < 9999").groupBy(*TRIP, "step", rect.alias("r"), day.alias("d")).agg(F.struct(sum0(F.col("LE_KG")).alias("kg"), sum0(F.col("LE_EURO")).alias("eu")).alias("s"))
+    of = lambda k: F.first(F.when(F.col("step") == k, F.col("s")), ignorenulls=True)
+    days = F.map_from_entries(F.collect_list(F.when(F.col("step") == 1, F.struct("d", "s"))))
+    rects = parts.groupBy(*TRIP, "r").agg(days.alias("days"), of(2).alias("any"), of(3).alias("s3"))
+    by_rect = F.map_from_entries(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", F.struct("days", "any")))))
+    return rects.groupBy(*TRIP).agg(by_rect.alias("_by_rect"), F.first("s3", ignorenulls=True).alias("_s3"))
 
 
 def spread_catch(trails: DataFrame, events: DataFrame, remove_diagnostic: bool = True, check: bool = False) -> DataFrame:
@@ -50,23 +57,18 @@ def spread_catch(trails: DataFrame, events: DataFrame, remove_diagnostic: bool =
     require(events, {".eid": INTEGER, "VE_COU": "string", "VE_REF": "string", "FT_REF": "string", "date": "date", "LE_RECT": "string", "LE_KG": NUMERIC, "LE_EURO": NUMERIC})
     if check and trails.count() != trails.select("`.pid`").distinct().count():
         raise ValueError(".pid is not unique")
-    steps = event_steps(trails, events)
-    total = lambda step, keys: steps.where(f"step = {step}").groupBy(*keys).agg(sum0(F.col("LE_KG")).alias(f"_kg{step}"), sum0(F.col("LE_EURO")).alias(f"_eu{step}"), F.lit(True).alias(f"_has{step}"))
-    one = total(1, [*TRIP, "date", "LE_RECT"]).withColumnRenamed("LE_RECT", "ir")
-    two = total(2, [*TRIP, "LE_RECT"]).withColumnRenamed("LE_RECT", "ir")
-    three = total(3, TRIP)
+    sums = _sums_by_trip(event_steps(trails, events))
     fishing = F.col("state") == 1
     count = lambda keys, taken: F.sum(F.when(taken & fishing, 1)).over(Window.partitionBy(*keys))
-    t = trails.withColumn("date", F.to_date("time"))
-    t = _null_safe(t, three, TRIP, "left")
-    t = _null_safe(t, two, [*TRIP, "ir"], "left")
-    t = _null_safe(t, one, [*TRIP, "ir", "date"], "left")
-    first = F.coalesce(fishing & F.col("_has1"), F.lit(False))
-    t = t.withColumn("_one", first)
-    t = t.withColumn("_two", F.coalesce(~F.col("_one") & fishing & F.col("_has2"), F.lit(False)))
+    t = _null_safe(trails.withColumn("date", F.to_date("time")), sums, TRIP, "left")
+    t = t.withColumn("_here", F.try_element_at("_by_rect", F.col("ir"))).drop("_by_rect")
+    t = t.withColumns({"_s1": F.try_element_at("_here.days", F.col("date")), "_s2": F.col("_here.any")}).drop("_here")
+    t = t.withColumn("_one", F.coalesce(fishing & F.col("_s1").isNotNull(), F.lit(False)))
+    t = t.withColumn("_two", F.coalesce(~F.col("_one") & fishing & F.col("_s2").isNotNull(), F.lit(False)))
     t = t.withColumn("_three", ~F.col("_one") & ~F.col("_two") & F.coalesce(fishing, F.lit(False)))
+    t = t.repartition(*TRIP)  # one exchange serves the three windows, whose keys all hold the trip's
     t = t.withColumns({"_n1": count([*TRIP, "ir", "date"], F.col("_one")), "_n2": count([*TRIP, "ir"], F.col("_two")), "_n3": count(TRIP, F.col("_three"))})
-    pick = lambda name: F.when(F.col("_one"), F.col(f"_{name}1") / F.col("_n1")).when(F.col("_two"), F.col(f"_{name}2") / F.col("_n2")).when(F.col("_three"), F.col(f"_{name}3") / F.col("_n3"))
+    pick = lambda name: F.when(F.col("_one"), F.col(f"_s1.{name}") / F.col("_n1")).when(F.col("_two"), F.col(f"_s2.{name}") / F.col("_n2")).when(F.col("_three"), F.col(f"_s3.{name}") / F.col("_n3"))
     weight = F.when(F.col("_one"), 1 / F.col("_n1")).when(F.col("_two"), 1 / F.col("_n2")).when(F.col("_three"), 1 / F.col("_n3"))
     how = F.when(F.col("_one"), HOW[1]).when(F.col("_two"), HOW[2]).when(F.col("_three"), HOW[3])
     kept = [F.col(f"`{c}`") for c in trails.columns if c != "date"]

@@ -62,15 +62,19 @@ def harbour_trips(df: DataFrame, vessel: str, time: str, in_harbour: str, rid: s
     hours = elapsed(F.col("a"), F.col("b"), "hours")
     spans = spans.where(hours > least_hours)
     if split:
-        long_ones = named.join(spans.where(hours > most_hours).select("v", "trip"), ["v", "trip"], "left_semi")
+        cuttable = (hours > most_hours) & (F.col("pings") >= 4)  # a cut needs two pings inside
+        long_ones = named.join(spans.where(cuttable).select("v", "trip"), ["v", "trip"], "left_semi")
         kind, vkind = dict(named.dtypes)["time"], dict(named.dtypes)["v"]
+        buckets = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([(pdf["v"].iloc[0], *x) for x in _split(pdf, most_hours, compat_cut)], columns=["v", "trip", "a", "b"])
+            """Many trips at once: a group for each trip would cost more than its cuts."""
+            rows = [(part["v"].iloc[0], *x) for _, part in pdf.groupby("trip", sort=False) for x in _split(part, most_hours, compat_cut)]
+            return pd.DataFrame(rows, columns=["v", "trip", "a", "b"])
 
-        cut = long_ones.groupBy("v", "n").applyInPandas(run, f"v {vkind}, trip string, a {kind}, b {kind}")
+        cut = long_ones.groupBy(F.pmod(F.xxhash64("trip"), F.lit(buckets))).applyInPandas(run, f"v {vkind}, trip string, a {kind}, b {kind}")
         cut = cut.where(hours > 0).where(hours >= least_hours)
-        spans = spans.where(hours <= most_hours).select("v", "trip", "a", "b").unionByName(cut)
+        spans = spans.where(~cuttable).select("v", "trip", "a", "b").unionByName(cut)
     le = spans.select(F.col("v").alias("_v"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("trip").alias("trip_id"))
     return df.join(le, (F.col(vessel) == F.col("_v")) & F.col(time).between(F.col("_a"), F.col("_b")), "left").drop("_v", "_a", "_b")
 

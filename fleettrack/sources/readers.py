@@ -53,7 +53,7 @@ def vessel_trail(trails: DataFrame, periods: DataFrame, vids: Sequence[int] | No
 
 
 def combined_trails(sources: dict[str, DataFrame], years: Sequence[int], box: tuple[float, float, float, float] = (-60, 60, 50, 80), distinct_time: Sequence[str] = ("stk", "lbs")) -> DataFrame:
-    """Trails of several sources between the first of the first year and 31 December (at 0:00) of the last, in the box, numbered as .rid.
+    """Trails of several sources between the first of the first year and 31 December (at 0:00) of the last, in the box, numbered within the vessel as .rid.
 
     Of rows of `distinct_time` sources with the same vessel and time one is kept. Rows without a position go.
     """
