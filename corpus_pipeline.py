@@ -50,7 +50,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that with the smallest id. Documents without an id stay."""
+    """One document of each component of near copies: that with the smallest id. Documents without an id stay, and rows that repeat an id stay or go together."""
     from fleettrack.llm.ngram_join import jaccard_components
 
     keep = jaccard_components(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()

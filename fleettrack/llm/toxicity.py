@@ -48,13 +48,15 @@ class Ordinal:
 
 
 def distinct_rows(rows: list[np.ndarray]) -> list[int]:
-    """Numbers of the rows but for near copies: those whose smallest scrambled features are the same as of two rows before."""
+    """Numbers of the rows but for near copies: of rows with the same three rarest features (of those in two rows or more) two stay."""
+    often = np.bincount(np.concatenate(rows), minlength=BUCKETS) if rows else np.zeros(BUCKETS, np.int64)
     seen: dict[tuple, int] = {}
     out = []
     for k, r in enumerate(rows):
-        key = tuple(np.sort((r * 0x9E3779B1 + 0x7F4A7C15) % 0xFFFFFFFB)[:3].tolist())
+        shared = r[often[r] >= 2]
+        key = tuple(shared[np.lexsort((shared, often[shared]))[:3]].tolist())
         seen[key] = seen.get(key, 0) + 1
-        if seen[key] <= 2:
+        if seen[key] <= 2 or len(key) < 3:
             out.append(k)
     return out
 
@@ -131,13 +133,13 @@ def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.binary())], names=["toxic", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, levels: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, levels: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
     """Fit on at most `max_rows` labelled rows of `docs`."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     ids = marks.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = docs.join(ids, F.col(id_col) == F.col("_id")).select("toxic", text_or_empty(text_col).alias("text"), F.xxhash64(id_col).alias("_k"), F.col(id_col).alias("_i"))
     rows = rows.orderBy("_k", "_i").limit(2 * max_rows).select("toxic", "text").mapInArrow(_featurised, "toxic int, features binary").collect()
-    sets = [np.frombuffer(r["features"], "<u4").astype(np.int64) for r in rows]
+    sets = [np.frombuffer(r["features"], "<u4") for r in rows]
     toxic = np.array([int(r["toxic"] > 0) for r in rows], np.int64)
     kept = distinct_rows(sets)
     sets, toxic = [sets[k] for k in kept], toxic[kept]
