@@ -11,7 +11,6 @@ repeated texts, items and ids are each reported; very long texts are whole; extr
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty
 
-SPACES = re.compile(r"\s+")
 BITS = 22
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+_MULT = 0x9E3779B97F4A7C15
 
 
 def normal(text: str) -> str:
-    return SPACES.sub(" ", text).strip().lower()
+    return " ".join(text.split()).lower()
 
 
 def grams(codes: np.ndarray, q: int) -> np.ndarray:
@@ -35,11 +33,12 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
     n = len(codes) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    x = codes.astype(np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(q):
-        h *= _MULT
-        h += x[k : k + n]
+    h, size, factor = codes.astype(np.uint64), 1, _MULT
+    while 2 * size <= q:  # twice the length in one step
+        h = h[:-size] * np.uint64(factor) + h[size:]
+        size, factor = 2 * size, factor * factor % (1 << 64)
+    for k in range(size, q):
+        h = h[: len(codes) - k] * np.uint64(_MULT) + codes[k:]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ h >> np.uint64(32)
@@ -62,7 +61,8 @@ class Index:
         item = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
         place = np.concatenate([np.arange(len(x)) for x in hashes]) if hashes else np.empty(0, np.int64)
         order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.place = h[order], item[order], place[order]
+        self.item, self.place = item[order], place[order]
+        self.hash, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[(self.hash >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
@@ -72,9 +72,9 @@ class Index:
         at = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - BITS)).astype(np.int64)])
         if not len(at):
             return []
-        low, high = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-        n = high - low
-        at, low, n = at[n > 0], low[n > 0], n[n > 0]
+        row = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
+        known = self.hash[row] == h[at]
+        at, low, n = at[known], self.first[row[known]], self.count[row[known]]
         if not len(at):
             return []
         entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
