@@ -56,6 +56,7 @@ class Vocabulary:
 
     def __init__(self, counts: list[tuple[str, int]], rest: int):
         self.place = {w: 1 + OTHERS + k for k, (w, _) in enumerate(counts)}
+        self.known = dict(self.place)
         mass = np.sqrt(np.array([1.0, *[1.0 + rest / OTHERS] * OTHERS, *[n for _, n in counts]]))
         self.size = len(mass)
         kind = np.minimum((np.cumsum(mass) - mass) / mass.sum() * CLASSES, CLASSES - 1).astype(np.int64)
@@ -63,8 +64,15 @@ class Vocabulary:
         self.edges = np.append(np.flatnonzero(np.diff(self.kind, prepend=-1)), self.size)
 
     def ids(self, text: str) -> list[int]:
-        get = self.place.get
-        return [k if (k := get(w)) else 1 + zlib.crc32(w.encode("utf-8", "replace")) % OTHERS for w in WORD.findall(text.lower())]
+        get, other = self.known.get, self.other
+        return [get(w) or other(w) for w in WORD.findall(text.lower())]
+
+    def other(self, word: str) -> int:
+        """The hashed place of a rare word, which is remembered."""
+        if len(self.known) > 300_000:
+            self.known = dict(self.place)
+        self.known[word] = k = 1 + zlib.crc32(word.encode("utf-8", "replace")) % OTHERS
+        return k
 
 
 class Network:
