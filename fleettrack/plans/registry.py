@@ -249,6 +249,13 @@ def resample_minutes(v):
     return out.groupBy("vid").agg(F.count(F.lit(1)).alias("minutes"), r(F.sum("value"), 3).alias("total"))
 
 
+@query()
+def resample_minutes_whole(v):
+    """Of all vessels. The SQL of resample_minutes has the first 40."""
+    out = track.resample(v("pings").select("vid", "time", "value"), "time", ["value"], BY)
+    return out.groupBy("vid").agg(F.count(F.lit(1)).alias("minutes"), r(F.sum("value"), 3).alias("total"))
+
+
 @query()
 def densified(v):
     return track.densify(v("smooth"), "lon", "lat", "time", BY, ORDER, 3600)
@@ -297,6 +304,17 @@ def whacky_distance(v):
     return outliers.implausible_distance(v("smooth").where("vid < 30"), "lon", "lat", BY, ORDER, 0.02).select("pid", "whacky")
 
 
+@query()
+def whacky_speed_whole(v):
+    """Of all vessels. The recursive SQL of whacky_speed and whacky_distance has the first 30."""
+    return outliers.implausible_speed(v("smooth"), "lon", "lat", "time", BY, ORDER, 0.4).select("pid", "whacky")
+
+
+@query()
+def whacky_distance_whole(v):
+    return outliers.implausible_distance(v("smooth"), "lon", "lat", BY, ORDER, 0.02).select("pid", "whacky")
+
+
 SQL["whacky_speed"] = _recursive(_scan_sql("DIST / SECS", "0.4e0 / 1.94384449e0", True))
 SQL["whacky_distance"] = _recursive(_scan_sql("DIST", "0.02e0 * 1852", False))
 
