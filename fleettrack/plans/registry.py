@@ -744,9 +744,8 @@ def split_id(v):
 
 
 def _steps(v):
-    d = v("smooth").where("vid < 30")
     w = track.track_window(BY, ORDER)
-    return d.withColumns({"step": track.distance(F.col("lon"), F.col("lat"), w), "turn": F.abs(F.col("value") - F.lag("value").over(w))})
+    return v("smooth").withColumns({"step": track.distance(F.col("lon"), F.col("lat"), w), "turn": F.abs(F.col("value") - F.lag("value").over(w))})
 
 
 @query()
@@ -767,4 +766,4 @@ def hidden_states(v):
 @query()
 def forest_by_trip(v):
     d = _steps(v).join(v("pings").select("pid", "kind"), "pid").where("kind IN ('click', 'view')")
-    return behaviour.forest_by_trip(d.select("pid", "vid", "step", "turn", "kind"), ["step", "turn"], "kind", "vid", folds=3, trees=10).select("pid", "fold", "kind", "predicted")
+    return behaviour.forest_by_trip(d.select("pid", "vid", "step", "turn", "kind"), ["step", "turn"], "kind", "vid").select("pid", "fold", "kind", "predicted")

@@ -69,3 +69,21 @@ def test_minute_grid_of_every_vessel(spark):
     got = {r["vid"]: r["minutes"] for r in registry.QUERIES["resample_minutes_whole"](spark, SF).collect()}
     ends = view(spark, SF, "pings").toPandas().assign(t=lambda d: d["time"].dt.floor("min")).groupby("vid")["t"].agg(["min", "max"])
     assert got == {v: int((b - a).total_seconds()) // 60 + 1 for v, a, b in ends.itertuples()}
+
+
+@pytest.mark.parametrize("name", ["gaussian_thresholds", "binary_clusters", "hidden_states"])
+def test_behaviour_of_every_vessel(spark, name):
+    assert registry.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_forest_query_uses_the_operator_s_defaults(spark, monkeypatch):
+    seen = {}
+
+    def forest(df, *args, **options):
+        seen.update(options, vessels=df.select("vid").distinct().count())
+        return df.selectExpr("pid", "1 AS fold", "kind", "kind AS predicted")
+
+    monkeypatch.setattr(registry.behaviour, "forest_by_trip", forest)
+    registry.QUERIES["forest_by_trip"](spark, SF)
+    vessels = view(spark, SF, "pings").where("kind IN ('click', 'view')").select("vid").distinct().count()
+    assert seen == {"vessels": vessels}
