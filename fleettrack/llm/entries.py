@@ -35,7 +35,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_boilerplate
 
-    out = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return _dedup_rows(drop_boilerplate(table(spark, sf_dir, "documents")))
+
+
+def op3_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the share of characters from which op3_line_dedup and its SQL leave a document whole."""
+    from .line_dedup import drop_boilerplate
+
+    return _dedup_rows(drop_boilerplate(table(spark, sf_dir, "documents"), most_share=None))
+
+
+def _dedup_rows(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -89,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_packing": op1_mixture_packing,
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
+    "op3_line_dedup_whole": op3_line_dedup_whole,
     "op4_transcripts": op4_transcripts,
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,

@@ -2,8 +2,8 @@
 
 Lines that occur `min_sites` times or more get a HyperLogLog sketch of their sites, merged by aggregation on the line's hash. A line whose
 estimate is well above the threshold is boilerplate; one near the threshold gets an exact distinct count. Boilerplate lines are
-taken out of every document in which they make up no more than `most_share` of the characters: a document that is boilerplate
-for the larger part is a copy of another one, and is left whole for near-duplicate removal.
+taken out of every document in which they make up no more than `most_share` of the characters, or out of every document that has
+other text where `most_share` is None.
 
 Contracts: null and empty texts stay as they are; null sites count as no site; repeated doc_ids and rows are treated alike; a document is
 never emptied; extra columns are carried; an empty table stays empty.
@@ -48,7 +48,7 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 11, band: float =
     return sure.unionByName(exact)
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = 5, min_chars: int = 30, most_share: float = 0.4, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = 5, min_chars: int = 30, most_share: float | None = 0.4, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """`docs` with boilerplate lines taken out of the text, and the columns n_lines and n_removed."""
     lines = stored(line_table(docs, min_chars, id_col, text_col, site_col), "lines")
     hit = lines.select("doc", "a", "b").join(boilerplate(lines, min_sites), ["a", "b"], "left_semi")
@@ -59,7 +59,8 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = 5, min_chars: int = 30, m
     out = both.withColumn(f"{OWN}_kept", F.when(F.col(OWN).isNotNull(), F.filter(arr, lambda x: ~bad(x))))
     chars = F.length(F.col(text_col))
     kept = F.array_join(F.col(f"{OWN}_kept"), "\n")
-    out = out.withColumn(f"{OWN}_text", F.when(F.length(kept) >= (1 - most_share) * chars, kept))
+    enough = F.regexp_like(kept, F.lit(r"\S")) if most_share is None else F.length(kept) >= (1 - most_share) * chars
+    out = out.withColumn(f"{OWN}_text", F.when(enough, kept))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(arr))
     removed = F.when(F.col(f"{OWN}_text").isNotNull(), n_lines - F.size(f"{OWN}_kept")).otherwise(0)
     out = out.withColumns({"n_lines": n_lines.cast("long"), "n_removed": removed.cast("long"), f"{OWN}_text": F.coalesce(F.col(f"{OWN}_text"), F.col(text_col))})

@@ -97,6 +97,26 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_line_dedup_whatever_the_share(spark):
+    shared = "this line of a page is shared by all of its sites and is long"
+    rows = [(k, f"own {k}\n{shared}", f"s{k}") for k in range(6)] + [(10, shared, "s1"), (11, f" \n{shared}\n\t", "s2"), (12, None, "s3"), (13, "", "s4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in line_dedup.drop_boilerplate(df, most_share=None).collect()}
+    assert got == {k: (1, f"own {k}") for k in range(6)} | {10: (0, rows[6][1]), 11: (0, rows[7][1]), 12: (0, None), 13: (0, "")}
+
+
+def test_line_dedup_leaves_no_boilerplate_beside_own_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lines = line_dedup.line_table(docs, 30)
+    bad = {(r["a"], r["b"]) for r in line_dedup.boilerplate(lines, 5).collect()}
+    out = line_dedup.drop_boilerplate(docs, most_share=None)
+    left = line_dedup.line_table(out, 30)
+    held = {r["doc"] for r in left.collect() if (r["a"], r["b"]) in bad}
+    assert bad
+    for r in out.where(F.col("doc_id").isin(sorted(held))).collect():
+        assert r["n_removed"] == 0 and all(not x.strip() or len(x.strip(" ")) >= 30 for x in r["text"].split("\n"))
+
+
 # ---- transcripts
 
 
