@@ -3,7 +3,7 @@
 Words are predicted from `REACH` words on each side: the sum of place-dependent word vectors goes through tanh to a two-step softmax, first
 over classes of words, then over the words of the class. A text's score is the sum of log P(word | both sides) over all its words.
 The vocabulary is counted over all documents. Training is data-parallel: in each round every task starts from the common weights,
-goes over its own documents (every `STRIDE`-th word of each is a target, all words are context) and gives its weights back, which are averaged
+goes over its own documents (in `rounds` rounds every word is a target once, all words are context) and gives its weights back, which are averaged
 by the number of targets in two levels, so what is gathered grows with the input and no task meets all of it.
 
 Contracts: null and empty texts have no words: n_words 0, log_prob 0, mean null; words outside the vocabulary share hashed places;
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, text_or_empty
 
-REACH, HIDDEN, CLASSES, OTHERS, STRIDE = 2, 24, 48, 32, 16
+REACH, HIDDEN, CLASSES, OTHERS = 2, 24, 48, 32
 WORD = re.compile(r"\w+|[^\w\s]")
 PIECES = 16
 
@@ -152,6 +152,12 @@ def _windows(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     return np.array(ids, np.int64), np.arange(len(owner)) + REACH * (owner + 1), owner
 
 
+def _targets(at: np.ndarray, owner: np.ndarray, number: int, rounds: int) -> np.ndarray:
+    """Of the words at `at`, those that round `number` trains: over all rounds, every word of every text once."""
+    place = np.arange(len(at)) - np.searchsorted(owner, owner)
+    return at[place % rounds == number]
+
+
 def _runs(texts: list[str], chars: int = 400_000):
     first, held = 0, 0
     for k, t in enumerate(texts):
@@ -193,9 +199,7 @@ def train(docs: DataFrame, words: int = 2000, rounds: int = 2, rate: float = 4.0
                 texts = batch.column("text").to_pylist()
                 for a, b in _runs(texts):
                     ids, at, owner = _windows(texts[a:b], vocab)
-                    first = np.searchsorted(owner, np.arange(b - a))
-                    at = at[(np.arange(len(at)) - first[owner] + number * STRIDE // rounds) % STRIDE == 0]
-                    at = np.random.default_rng(task).permutation(at)
+                    at = np.random.default_rng(task).permutation(_targets(at, owner, number, rounds))
                     for k in range(0, len(at), batch_size):
                         done += len(at[k : k + batch_size])
                         net.step(ids, at[k : k + batch_size], rate / (1 + done / 100_000) ** 0.5)

@@ -255,3 +255,11 @@ def test_pseudo_likelihood_empty(odd, odd_rows):
     assert pseudo_likelihood.pseudo_likelihood(odd.limit(0)).count() == 0
     got = pseudo_likelihood.pseudo_likelihood(odd).collect()
     assert sorted(r["n_words"] for r in got) == sorted(len(re.findall(r"\w+|[^\w\s]", (r[1] or "").lower())) for r in odd_rows)
+
+
+def test_every_word_is_a_target_once():
+    vocab = pseudo_likelihood.Vocabulary([(w, 10) for w in "abcdef"], 5)
+    _, at, owner = pseudo_likelihood._windows(["a b c d e f g h i j k", "one", "", "l m", "n " * 40], vocab)
+    for rounds in (1, 2, 3):
+        got = np.concatenate([pseudo_likelihood._targets(at, owner, k, rounds) for k in range(rounds)])
+        assert sorted(got.tolist()) == at.tolist() and len(at) == 54
