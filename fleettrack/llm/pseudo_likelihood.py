@@ -2,11 +2,12 @@
 
 Words are predicted from `REACH` words on each side: the sum of place-dependent word vectors goes through tanh to a two-step softmax, first
 over classes of words, then over the words of the class. A text's score is the sum of log P(word | both sides) over all its words.
-The vocabulary is counted over all documents. Training is data-parallel: in each round every task starts from the common weights,
+Words are counted over all documents. The most frequent ones are predicted by the network; all others share `OTHERS` hashed places, and
+log P of such a word is that of its place plus log(its count / the count of its place), from the table of all words' counts. Training is data-parallel: in each round every task starts from the common weights,
 goes over its own documents (in `rounds` rounds every word is a target once, all words are context) and gives its weights back, which are averaged
 by the number of targets in two levels, so what is gathered grows with the input and no task meets all of it.
 
-Contracts: null and empty texts have no words: n_words 0, log_prob 0, mean null; words outside the vocabulary share hashed places;
+Contracts: null and empty texts have no words: n_words 0, log_prob 0, mean null; words that were not counted are taken as counted once;
 very long texts are whole; repeated ids are scored each; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +30,8 @@ from .common import slices, stored, text_or_empty
 REACH, HIDDEN, CLASSES, OTHERS = 2, 24, 48, 32
 WORD = re.compile(r"\w+|[^\w\s]")
 PIECES = 16
+#: Rare words that a piece of scored texts holds at most, about.
+HELD = 150_000
 
 
 def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
@@ -63,9 +67,12 @@ class Vocabulary:
         self.kind = np.unique(kind, return_inverse=True)[1]
         self.edges = np.append(np.flatnonzero(np.diff(self.kind, prepend=-1)), self.size)
 
-    def ids(self, text: str) -> list[int]:
-        get, other = self.known.get, self.other
-        return [get(w) or other(w) for w in WORD.findall(text.lower())]
+    def ids(self, text: str, rare: list[list[str]] | None = None) -> list[int]:
+        """Ids of the words of `text`; `rare` gets the list of its rare words."""
+        get, other, words = self.known.get, self.other, WORD.findall(text.lower())
+        if rare is not None:
+            rare.append([w for w in words if w not in self.place])
+        return [get(w) or other(w) for w in words]
 
     def other(self, word: str) -> int:
         """The hashed place of a rare word, which is remembered."""
@@ -140,11 +147,11 @@ class Network:
         np.clip(self.flat, -8, 8, out=self.flat)
 
 
-def _windows(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(texts: list[str], vocab: Vocabulary, rare: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts with edges between, places of the words, and the text of each word."""
     ids, lens = [0] * REACH, []
     for text in texts:
-        own = vocab.ids(text)
+        own = vocab.ids(text, rare)
         ids += own + [0] * REACH
         lens.append(len(own))
     lens = np.array(lens, np.int64)
@@ -178,9 +185,9 @@ def _average(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"k": [pdf["k"].iloc[0]], "task": [pdf["task"].iloc[0]], "n": [int(weight.sum())], "part": [(total / max(weight.sum(), 1)).astype(np.float32).tobytes()]})
 
 
-def train(docs: DataFrame, words: int = 2000, rounds: int = 2, rate: float = 4.0, batch_size: int = 256) -> Network:
-    """Fit on all of `docs` (column text)."""
-    counts = stored(word_counts(docs), "word-counts")
+def train(docs: DataFrame, words: int = 2000, rounds: int = 2, rate: float = 4.0, batch_size: int = 256, counts: DataFrame | None = None) -> Network:
+    """Fit on all of `docs` (column text); `counts` is their stored word_counts."""
+    counts = stored(word_counts(docs), "word-counts") if counts is None else counts
     top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
     rest = (counts.agg(F.sum("n")).first()[0] or 0) - sum(n for _, n in top)
     vocab = Vocabulary(top, rest)
@@ -215,28 +222,82 @@ def train(docs: DataFrame, words: int = 2000, rounds: int = 2, rate: float = 4.0
     return Network(vocab, flat)
 
 
-def score(docs: DataFrame, net: Network) -> DataFrame:
-    """doc_id, n_words, log_prob and mean_log_prob of every row of `docs` (doc_id, text)."""
-    cloud = docs.sparkSession.sparkContext.broadcast((net.vocab, net.flat))
+SCORED = "piece long, row int, doc_id long, n_words long, log_prob double, word string, rows binary"
+SCORES = "doc_id long, n_words long, log_prob double, mean_log_prob double"
+
+
+def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a piece, with what its rare words add."""
+    is_doc = pdf["row"].notna()
+    docs, words = pdf[is_doc].sort_values("row"), pdf[~is_doc].sort_values("word")
+    total = docs["log_prob"].to_numpy(np.float64)
+    if len(words):
+        at = [np.frombuffer(x, np.int32) for x in words["rows"]]
+        total = total + np.bincount(np.concatenate(at), np.repeat(words["log_prob"].to_numpy(np.float64), [len(x) for x in at]), minlength=len(docs))
+    n, total = docs["n_words"].to_numpy(np.int64), np.round(total, 4)
+    mean = pd.Series(np.round(total / np.maximum(n, 1), 6)).where(n > 0)
+    return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64").to_numpy(), "n_words": n, "log_prob": total, "mean_log_prob": mean.to_numpy()})
+
+
+def score(docs: DataFrame, net: Network, counts: DataFrame) -> DataFrame:
+    """doc_id, n_words, log_prob and mean_log_prob of every row of `docs` (doc_id, text); `counts` is the stored table that `net` was made with."""
+    spark = docs.sparkSession
+    cloud = spark.sparkContext.broadcast((net.vocab, net.flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Network(*cloud.value)
+        from pyspark import TaskContext
+
+        model, piece, row = Network(*cloud.value), TaskContext.get().partitionId() << 32, 0
+        held: dict[str, array] = {}
+
+        def table(size: int, **columns) -> pa.RecordBatch:
+            kinds = {"piece": pa.int64(), "row": pa.int32(), "doc_id": pa.int64(), "n_words": pa.int64(), "log_prob": pa.float64(), "word": pa.string(), "rows": pa.binary()}
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in kinds.items()], names=list(kinds))
+
+        def flush() -> pa.RecordBatch:
+            out = table(len(held), piece=[piece] * len(held), word=list(held), rows=[x.tobytes() for x in held.values()])
+            held.clear()
+            return out
+
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             n, total = [np.zeros(0)], [np.zeros(0)]
+            rare: list[list[str]] = []
             for a, b in _runs(texts):
-                ids, at, owner = _windows(texts[a:b], model.vocab)
+                ids, at, owner = _windows(texts[a:b], model.vocab, rare)
                 logs = np.concatenate([model.log_probs(ids, at[k : k + 32_768]) for k in range(0, len(at), 32_768)] or [np.zeros(0)])
                 n.append(np.bincount(owner, minlength=b - a))
                 total.append(np.bincount(owner, logs.astype(np.float64), minlength=b - a))
-            n, total = np.concatenate(n).astype(np.int64), np.round(np.concatenate(total), 4)
-            mean = pa.array(np.round(total / np.maximum(n, 1), 6), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total), mean], names=["doc_id", "n_words", "log_prob", "mean_log_prob"])
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+            for k, words in enumerate(rare, row):
+                for w in words:
+                    if w in held:
+                        held[w].append(k)
+                    else:
+                        held[w] = array("i", (k,))
+            size = len(texts)
+            yield table(size, piece=[piece] * size, row=range(row, row + size), doc_id=batch.column("doc_id"), n_words=np.concatenate(n).astype(np.int64), log_prob=np.concatenate(total))
+            row += size
+            if len(held) > HELD or row > 20_000:
+                yield flush()
+                piece, row = piece + 1, 0
+        if held:
+            yield flush()
+
+    rows = stored(docs.mapInArrow(run, SCORED), "scored")
+    place = lambda c: F.crc32(F.col(c).cast("binary")) % OTHERS
+    top = spark.createDataFrame([(w,) for w in net.vocab.place], "word string")
+    rest = counts.join(F.broadcast(top), "word", "left_anti")
+    sums = rest.groupBy(place("word").alias("place")).agg(F.sum("n").alias("all")).collect()  # OTHERS rows
+    sums = spark.createDataFrame([(r["place"], r["all"]) for r in sums], "place long, all long")
+    share = F.log(F.coalesce("n", F.lit(1)) / F.coalesce("all", F.lit(1)))
+    words = rows.where(F.col("word").isNotNull()).select("piece", "word", "rows").join(rest, "word", "left").withColumn("place", place("word"))
+    words = words.join(F.broadcast(sums), "place", "left").select("piece", "word", "rows", share.alias("log_prob"))
+    both = rows.where(F.col("row").isNotNull()).unionByName(words, allowMissingColumns=True)
+    return both.groupBy("piece").applyInPandas(_finish, SCORES)
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Train on `docs` and score them."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return score(rows, train(rows.select("text"), **options))
+    counts = stored(word_counts(rows.select("text")), "word-counts")
+    return score(rows, train(rows.select("text"), counts=counts, **options), counts)

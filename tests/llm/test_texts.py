@@ -263,3 +263,17 @@ def test_every_word_is_a_target_once():
     for rounds in (1, 2, 3):
         got = np.concatenate([pseudo_likelihood._targets(at, owner, k, rounds) for k in range(rounds)])
         assert sorted(got.tolist()) == at.tolist() and len(at) == 54
+
+
+def test_rare_words_are_told_apart(spark):
+    place = {}
+    for k in range(2000):  # two rare words of one place
+        w = f"rare{k}"
+        place.setdefault(pseudo_likelihood.zlib.crc32(w.encode()) % pseudo_likelihood.OTHERS, []).append(w)
+    often, once, third = place[3][:3]
+    rows = [(k, "the cat " * 8 + often) for k in range(6)] + [(10, "the cat " * 8 + once), (11, "the cat " * 8 + third), (11, "the cat " * 8 + third), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pseudo_likelihood.pseudo_likelihood(df, words=2).collect()
+    logs = {r["doc_id"]: r["log_prob"] for r in got}
+    assert len(got) == len(rows) and logs[None] == 0
+    assert logs[0] - logs[10] == pytest.approx(np.log(6), abs=1e-3) and logs[11] - logs[10] == pytest.approx(np.log(2), abs=1e-3)
