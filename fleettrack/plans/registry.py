@@ -369,6 +369,32 @@ def validity_join(v):
     return joins.validity_join(v("pings"), _intervals(v), key="vid", start="T1", end="T2").select("pid", "tid")
 
 
+def _all_intervals(v):
+    """Two hours from every ping."""
+    return v("pings").selectExpr("vid", "pid AS tid", "time AS T1", "time + interval '2' hour AS T2")
+
+
+@query()
+def add_tripid_whole(v):
+    return joins.add_trip_id(v("pings").select("pid", "vid", "time"), _all_intervals(v)).select("pid", "vid", "tid")
+
+
+@query()
+def add_tripid_bucketed_whole(v):
+    return joins.add_trip_id(v("pings").select("pid", "vid", "time"), _all_intervals(v), bucket_seconds=6 * 3600).select("pid", "vid", "tid")
+
+
+@query()
+def interval_id_whole(v):
+    out = joins.interval_id(v("pings"), _all_intervals(v), start="T1", end="T2", id="tid")
+    return out.select("vid", F.unix_micros(F.col("time").cast("timestamp")).alias("us"), "tid")
+
+
+@query()
+def validity_join_whole(v):
+    return joins.validity_join(v("pings"), _all_intervals(v), key="vid", start="T1", end="T2").select("pid", "tid")
+
+
 JEPOL = f"""m AS (SELECT vid, pid, time, in_harbour AS h, lag(in_harbour) {OVER} AS ph, min(in_harbour::int) OVER (PARTITION BY vid) <> max(in_harbour::int) OVER (PARTITION BY vid) AS mixed FROM pings),
 k AS (SELECT *, sum(CASE WHEN NOT h AND (ph IS NULL OR ph) THEN 1 ELSE 0 END) {OVER} AS n, coalesce(h AND NOT ph, false) AS arrive FROM m WHERE mixed),
 s AS (SELECT vid, n, min(time) AS a, max(time) AS b FROM k WHERE NOT h OR arrive GROUP BY 1, 2)"""
@@ -548,6 +574,13 @@ def logbook_records(v):
     return logbook.logbook(lb.where("gid < 10"), lb.where("gid >= 10"), catch, years=(1995, 1996, 1997)).select("visir", "source", untied(F.col("catch")).alias("catch"))
 
 
+@query()
+def logbook_records_whole(v):
+    """Of all vessels. logbook_records and its SQL have the even ones."""
+    lb, catch = v("logbook"), v("logbook").selectExpr("visir % 2000 AS visir", "effort AS catch")
+    return logbook.logbook(lb.where("gid < 10"), lb.where("gid >= 10"), catch, years=(1995, 1996, 1997)).select("visir", "source", untied(F.col("catch")).alias("catch"))
+
+
 # ---- space
 
 SQUARES = [(f"S{k}", -40.0 + 11 * k, 38.0 + 5 * k, 8.0) for k in range(9)]
@@ -667,6 +700,17 @@ def vessel_trail(v):
     return readers.vessel_trail(p, periods, range(1000, 1050, 2)).select("pid", "vid")
 
 
+@query()
+def vessel_trail_whole(v):
+    """The periods of all devices. vessel_trail and its SQL have the devices below 50 and the even vessels."""
+    p = v("pings").withColumnRenamed("vid", "mid")
+    m = p.select("mid", (F.col("mid") + 1000).alias("vid")).distinct()
+    m = m.selectExpr("mid", "vid", "CASE WHEN vid % 3 = 0 THEN 1 END AS pings", "CASE WHEN vid % 5 = 0 THEN 'manual' ELSE 'auto' END AS link", "'2024:01:05' AS t1", "'2024:01:20' AS t2")
+    periods = readers.mobile_periods(m).withColumns({t: F.col(t).cast("timestamp_ntz") for t in ("t1", "t2")})
+    vids = [r["vid"] for r in m.select("vid").collect()]
+    return readers.vessel_trail(p, periods, vids).select("pid", "vid")
+
+
 @query("""WITH u AS (SELECT pid, vid, time, 'a' AS source, lon, lat FROM pings WHERE pid % 2 = 0 UNION ALL SELECT pid, vid, time, 'b', lon, lat FROM pings WHERE pid % 2 = 1)
 SELECT pid, row_number() OVER (PARTITION BY vid ORDER BY time, source) AS rid FROM u WHERE time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-12-31' AND lon BETWEEN -60 AND 60 AND lat BETWEEN 50 AND 80""", "pings")
 def combined_trails(v):

@@ -87,3 +87,28 @@ def test_forest_query_uses_the_operator_s_defaults(spark, monkeypatch):
     registry.QUERIES["forest_by_trip"](spark, SF)
     vessels = view(spark, SF, "pings").where("kind IN ('click', 'view')").select("vid").distinct().count()
     assert seen == {"vessels": vessels}
+
+
+#: The SQL of a query without its filter, over all rows.
+WHOLE = {
+    "add_tripid_whole": ("add_tripid", " WHERE pid % 10 = 0"),
+    "add_tripid_bucketed_whole": ("add_tripid", " WHERE pid % 10 = 0"),
+    "interval_id_whole": ("interval_id", " WHERE pid % 10 = 0"),
+    "validity_join_whole": ("validity_join", " WHERE pid % 10 = 0"),
+    "logbook_records_whole": ("logbook_records", " AND vid % 2 = 0"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_tables_against_sql(spark, duck, name):
+    base, part = WHOLE[name]
+    assert part in registry.SQL[base]
+    got = normal(registry.QUERIES[name](spark, SF).toPandas())
+    pd.testing.assert_frame_equal(got, normal(duck.execute(registry.SQL[base].replace(part, "")).df()))
+    assert len(got) > 0
+
+
+def test_trails_of_every_device(spark, duck):
+    text = registry.SQL["vessel_trail"].replace(" WHERE vid < 50", "").replace(" AND m.vid % 2 = 0", "")
+    got = normal(registry.QUERIES["vessel_trail_whole"](spark, SF).toPandas())
+    pd.testing.assert_frame_equal(got, normal(duck.execute(text).df()))
