@@ -5,12 +5,13 @@ Texts and items are compared in lower case with runs of white space as one blank
 are counted by item and by overlapping bands of diagonals (each 2e+1 wide or more, a step of e+1 apart, so that some band holds any
 e+1 neighbouring diagonals); bands that reach the bound are verified by banded alignment, and give the least edits of the item within the text.
 
-Contracts: null and empty texts and items match nothing; items shorter than `min_chars` are left out (they would match by chance);
+Contracts: null and empty texts and items match nothing; items shorter than `min_chars` match as whole words without edits;
 repeated texts, items and ids are each reported; very long texts are whole; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import slices, text_or_empty
 
 BITS = 22
+WORD, JOINED = re.compile(r"\w+|[^\w\s]"), re.compile(r"\w\w")
 _MULT = 0x9E3779B97F4A7C15
 
 
@@ -52,7 +54,14 @@ class Index:
     """Items by q-gram: sorted hashes with item and place, and a bitmap in front."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, share: float, min_chars: int):
-        kept = [(i, codes_of(n)) for i, t in items if len(n := normal(t)) >= min_chars]
+        named = [(i, normal(t)) for i, t in items]
+        kept = [(i, codes_of(n)) for i, n in named if len(n) >= min_chars]
+        self.short: dict[str, list[int]] = {}
+        self.lengths: dict[str, set[int]] = {}
+        for i, n in named:
+            if n and len(n) < min_chars:
+                self.short.setdefault(n, []).append(i)
+                self.lengths.setdefault(WORD.match(n)[0], set()).add(len(n))
         self.q, self.ids, self.codes = q, [i for i, _ in kept], [c for _, c in kept]
         self.edits = np.array([min(int(share * len(c)), (len(c) - q) // q) for c in self.codes], np.int64)
         self.bound = np.array([len(c) - q + 1 - q * e for c, e in zip(self.codes, self.edits.tolist(), strict=True)], np.int64)
@@ -129,9 +138,20 @@ class Index:
 
     def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) in the normal form of `text`."""
-        codes = codes_of(normal(text))
+        text = normal(text)
+        codes = codes_of(text)
         found = ((self.ids[i], self.verify(codes, i, a, b)) for i, a, b in self.candidates(codes))
-        return [(i, v[1], v[2], v[0]) for i, v in found if v]
+        return [(i, v[1], v[2], v[0]) for i, v in found if v] + self.exact(text)
+
+    def exact(self, text: str) -> list[tuple[int, int, int, int]]:
+        """The short items that stand in the normal form `text` as whole words, one after the other."""
+        out = []
+        for m in WORD.finditer(text) if self.short else ():
+            for n in self.lengths.get(m[0], ()):
+                a, b = m.start(), m.start() + n
+                if (own := self.short.get(text[a:b])) and not JOINED.match(text, b - 1):
+                    out += [(i, a, b, 0) for i in own]
+        return out
 
 
 FOUND = "doc_id long, item_id long, start long, end long, edits long"

@@ -228,6 +228,14 @@ def test_leaks_odd_rows(odd, spark):
     assert decontamination.leaks(odd, items.limit(0)).count() == 0 and decontamination.leaks(odd.limit(0), items).count() == 0
 
 
+def test_short_items_match_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "What is 2+2?"), (2, "cat"), (3, " \t"), (4, "the  Cat"), (5, "x" * 49)], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "so: WHAT is\n2+2? yes"), (11, "concatenate cats the cats"), (12, "see the cat, cat"), (13, "y" + "x" * 49), (14, "x" * 49), (15, None), (16, "what is 2+2")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["start"], r["end"], r["edits"]) for r in decontamination.leaks(docs, items).collect())
+    assert got == [(10, 1, 4, 16, 0), (12, 2, 8, 11, 0), (12, 2, 13, 16, 0), (12, 4, 4, 11, 0), (14, 5, 0, 49, 0)]
+    assert sorted(r["doc_id"] for r in decontamination.without_leaks(docs, items).collect()) == [11, 13, 15, 16]
+
+
 # ---- pseudo-likelihood
 
 
