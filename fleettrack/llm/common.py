@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,10 +16,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where that is unset, local mode (one process, as in tests) has a temporary one; a cluster has none, which is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="fleettrack-"))
     return _own_dir[0]
@@ -39,14 +42,23 @@ def mark() -> int:
 
 
 def made_since(number: int) -> list[str]:
-    return _made[number:]
+    """Places of the tables that `stored` has made since `mark` gave `number`."""
+    return [p for p in _made[number:] if p]
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that no frame in use reads any more."""
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+    """Delete tables that no frame in use reads any more. Without a classic session they stay until the shared folder goes."""
+    jvm = getattr(spark, "_jvm", None)
+    for p in paths if jvm else ():
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if p in _made:
+            _made[_made.index(p)] = ""
+
+
+def place_of(df: DataFrame) -> str:
+    """Where `stored` put `df`, which was the last to be stored."""
+    return _made[-1]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,11 +17,9 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from .packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Vectorised pre-tokenisation for the byte-level BPE vocabulary, and ids by pre-token.
+"""Vectorised pre-tokenisation for the byte-level BPE vocabulary, and ids by pre-token from the tokenizer library.
 
 The split is the one that the vocabulary file's ByteLevel step makes (its pattern is stated in the vocabulary package as PATTERN):
 contractions, runs of letters, numbers or other signs with one leading blank, and white space. Here it is computed from
@@ -7,7 +7,7 @@ character classes with numpy over many texts at once; tests compare it with the
 
 from __future__ import annotations
 
-import base64
+import os
 
 import numpy as np
 import regex
@@ -15,7 +15,7 @@ import regex
 LETTER, NUMBER, OTHER, SPACE, END, UNKNOWN = 0, 1, 2, 3, 4, 255
 #: Code points past Unicode's last one: the end of a text, and a special string found in a text.
 STOP, SPECIAL = 0x110000, 0x110001
-SPECIAL_TEXT, SPECIAL_ID = "<|endoftext|>", 50256
+SPECIAL_TEXT = "<|endoftext|>"
 
 _classes = np.full(SPECIAL + 1, UNKNOWN, dtype=np.uint8)
 _classes[[STOP, SPECIAL]] = END
@@ -82,7 +82,10 @@ _cached_powers = (_powers(1, _B), _powers(1, _B_INV))
 
 
 def hashes_of(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each piece that does not depend on its place: prefix sums of a polynomial, shifted back to 0."""
+    """A 64-bit hash of each piece that does not depend on its place: prefix sums of a polynomial, shifted back to 0.
+
+    Unlike pieces can share one (polynomials modulo a power of two do so for some words), so pieces are always compared behind it.
+    """
     global _cached_powers
     n = len(codes)
     if len(_cached_powers[0]) < n:
@@ -100,20 +103,61 @@ def hashes_of(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (total[ends] - total[starts]) * _cached_powers[1][starts]
 
 
-class PieceTable:
-    """Pieces seen by this process, by hash: their token counts and ids. When it holds `most` pieces, the half seen most often stays."""
+def distinct_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number): runs data[start:end] of the same contents have one number, and `first` has the first run of each number.
+
+    Runs are grouped by `key`, which equal runs share, and compared with the first of their group. Where that finds unlike runs under one key,
+    their contents are the keys.
+    """
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    size, like = end - start, first[number]
+    if (size == size[like]).all():
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        if (data[np.repeat(start, size) + within] == data[np.repeat(start[like], size) + within]).all():
+            return first, number
+    blob, width, place = data.tobytes(), data.itemsize, {}
+    number = np.fromiter((place.setdefault(blob[a:b], len(place)) for a, b in zip((start * width).tolist(), (end * width).tolist(), strict=True)), np.int64, len(start))
+    return np.unique(number, return_index=True)[1], number
+
+
+def distinct_pieces_of(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(first, contents, number) of the distinct pieces of `codes`: where each one first starts, its code points, and the number of each piece's contents."""
+    ends = np.append(starts[1:], len(codes))
+    first, number = distinct_runs(codes, starts, ends, hashes_of(codes, starts))
+    blob = codes.tobytes()
+    return first, [blob[4 * a : 4 * b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], number
+
+
+def text_of(piece: bytes) -> str:
+    """The text of a piece's code points; STOP has none."""
+    code = int.from_bytes(piece[:4], "little")
+    return "" if code == STOP else SPECIAL_TEXT if code == SPECIAL else piece.decode("utf-32-le", "surrogatepass")
 
-    def __init__(self, ranks_path: str, pattern: str, most: int = 400_000):
-        import tiktoken
 
-        with open(ranks_path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+_tokenizers: dict = {}
+
+
+def library(tokenizer_path: str):
+    """encode_batch of the tokenizer library for a vocabulary file, one for each process."""
+    if tokenizer_path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(tokenizer_path)
+        _tokenizers[tokenizer_path] = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    return _tokenizers[tokenizer_path]
+
+
+class PieceTable:
+    """Pieces seen by this process, by their contents: their token counts and ids. When it holds `most` pieces, the half seen most often stays."""
+
+    def __init__(self, tokenizer_path: str, most: int = 400_000):
+        self.encode = library(tokenizer_path)
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.pool = np.empty(1 << 16, np.uint16)
         self.at = np.empty(1 << 15, np.int64)
         self.size = np.empty(1 << 15, np.int32)
@@ -127,7 +171,7 @@ class PieceTable:
         number = np.full(n, -1)
         number[stay] = np.arange(len(stay))
         at, size, pool, hits = self.at[stay], self.size[stay], self.pool, self.hits[stay]
-        place = {h: k for h, row in self.place.items() if (k := int(number[row])) >= 0}
+        place = {p: k for p, row in self.place.items() if (k := int(number[row])) >= 0}
         self.clear()
         ends = np.cumsum(size, dtype=np.int64)
         self.used = int(ends[-1]) if len(ends) else 0
@@ -138,19 +182,17 @@ class PieceTable:
         """For each piece its row in `at` and `size`."""
         if len(self.place) > self.most:
             self.shrink()
-        unique, first, inverse = np.unique(hashes_of(codes, starts), return_index=True, return_inverse=True)
-        rows = np.fromiter(map(self.place.get, unique.tolist(), [-1] * len(unique)), np.int64, len(unique))
-        ends = np.append(starts[1:], len(codes))
+        _, pieces, inverse = distinct_pieces_of(codes, starts)
+        rows = np.fromiter(map(self.place.get, pieces, [-1] * len(pieces)), np.int64, len(pieces))
         new = np.flatnonzero(rows < 0)
         if len(new):
-            blob, begin, end = codes.tobytes(), (starts[first[new]] * 4).tolist(), (ends[first[new]] * 4).tolist()
-            code = codes[starts[first[new]]].tolist()
             found: list[int] = []
             sizes = []
-            for b, e, c in zip(begin, end, code, strict=True):
-                ids = () if c == STOP else (SPECIAL_ID,) if c == SPECIAL else self.encode(blob[b:e].decode("utf-32-le", "surrogatepass").encode("utf-8", "replace"))
-                found.extend(ids)
-                sizes.append(len(ids))
+            unseen = [pieces[k] for k in new.tolist()]
+            for a in range(0, len(unseen), 4096):
+                for x in self.encode([text_of(p).encode("utf-8", "replace").decode() for p in unseen[a : a + 4096]], add_special_tokens=False):
+                    found.extend(x.ids)
+                    sizes.append(len(x.ids))
             k, rows_new = len(self.place), np.arange(len(self.place), len(self.place) + len(new))
             if self.used + len(found) > len(self.pool):
                 self.pool = np.concatenate([self.pool[: self.used], np.empty(self.used + 2 * len(found) + 1024, np.uint16)])
@@ -162,7 +204,7 @@ class PieceTable:
             self.at[rows_new] = self.used + np.cumsum(sizes) - sizes
             self.used += len(found)
             rows[new] = rows_new
-            self.place.update(zip(unique[new].tolist(), rows_new.tolist(), strict=True))
+            self.place.update(zip(unseen, rows_new.tolist(), strict=True))
         self.hits[rows] += 1
         return rows[inverse]
 
@@ -170,11 +212,11 @@ class PieceTable:
 _tables: dict[str, PieceTable] = {}
 
 
-def piece_table(ranks_path: str, pattern: str) -> PieceTable:
+def piece_table(tokenizer_path: str) -> PieceTable:
     """One table for each vocabulary and process; Spark's workers are reused, so it stays warm."""
-    if ranks_path not in _tables:
-        _tables[ranks_path] = PieceTable(ranks_path, pattern)
-    return _tables[ranks_path]
+    if tokenizer_path not in _tables:
+        _tables[tokenizer_path] = PieceTable(tokenizer_path)
+    return _tables[tokenizer_path]
 
 
 def chunks(texts: list[str], chars: int = 500_000):

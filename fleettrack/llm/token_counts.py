@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
-from .pretokens import SPECIAL, SPECIAL_TEXT, STOP, chunks, codes_of, hashes_of, starts_of
+from .common import shuffle_width, slices, text_or_empty
+from .pretokens import STOP, chunks, codes_of, distinct_pieces_of, library, starts_of, text_of
 
 FREQUENCIES = "bucket long, block long, pieces binary, sizes binary, docs binary, counts binary, ordinals binary, doc_ids binary, bytes binary"
 NAMES = [x.split()[0] for x in FREQUENCIES.split(", ")]
@@ -44,7 +44,7 @@ class _Block:
 
     def __init__(self, number: int, buckets: int):
         self.number, self.buckets, self.chars, self.docs = number, buckets, 0, 0
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.pieces: list[str] = []
         self.found: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -55,14 +55,13 @@ class _Block:
         code = codes[starts]
         stop = code == STOP
         owner = np.cumsum(stop) - stop + self.docs
-        unique, first, inverse = np.unique(hashes_of(codes, starts), return_index=True, return_inverse=True)
-        rows = np.fromiter(map(self.place.get, unique.tolist(), [-1] * len(unique)), np.int64, len(unique))
+        _, found, inverse = distinct_pieces_of(codes, starts)
+        rows = np.fromiter(map(self.place.get, found, [-1] * len(found)), np.int64, len(found))
         new = np.flatnonzero(rows < 0)
-        ends = np.append(starts[1:], len(codes))
-        blob, begin, end = codes.tobytes(), (starts[first[new]] * 4).tolist(), (ends[first[new]] * 4).tolist()
         rows[new] = np.arange(len(self.pieces), len(self.pieces) + len(new))
-        self.pieces += ["" if c == STOP else SPECIAL_TEXT if c == SPECIAL else blob[b:e].decode("utf-32-le", "surrogatepass") for c, b, e in zip(code[first[new]].tolist(), begin, end, strict=True)]
-        self.place.update(zip(unique[new].tolist(), rows[new].tolist(), strict=True))
+        unseen = [found[k] for k in new.tolist()]
+        self.pieces += map(text_of, unseen)
+        self.place.update(zip(unseen, rows[new].tolist(), strict=True))
         keep = ~stop
         key, count = np.unique(rows[inverse[keep]] << 16 | owner[keep], return_counts=True)
         self.found.append(key)
@@ -157,15 +156,7 @@ def piece_sizes(pieces: DataFrame, tokenizer_path: str) -> DataFrame:
     """(bucket, known, tokens): each distinct pre-token of a bucket and its number of tokens by the tokenizer library."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        if tokenizer_path not in _tokenizers:
-            _tokenizers[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
-        tokenizer = _tokenizers[tokenizer_path]
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        encode = library(tokenizer_path)
         words = sorted({p for value in pdf["pieces"] for p in parted(value)})
         sizes: list[int] = []
         for a in range(0, len(words), 4096):
@@ -175,7 +166,6 @@ def piece_sizes(pieces: DataFrame, tokenizer_path: str) -> DataFrame:
     return pieces.groupBy("bucket").applyInPandas(count, "bucket long, known binary, tokens binary")
 
 
-_tokenizers: dict = {}
 SUMS = "block long, docs binary, tokens binary, ordinals binary, doc_ids binary, bytes binary"
 
 
@@ -232,7 +222,7 @@ def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row of `docs`. The texts are read twice; nothing is stored."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    buckets = max(256, 8 * rows.rdd.getNumPartitions())
+    buckets = 8 * shuffle_width(docs, 32)
     sizes = piece_sizes(distinct_pieces(rows, buckets), tokenizer_path)
     sums = frequencies(rows, buckets).join(sizes, "bucket", "left").mapInArrow(_sums, SUMS)
     out = sums.groupBy("block").applyInPandas(_by_document, "doc_id long, n_bytes long, n_tokens long")

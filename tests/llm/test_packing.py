@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from fleettrack.llm import pretokens
-from fleettrack.llm.packing import Schedule, pack_documents
+from fleettrack.llm.packing import Plan, pack_documents, weights_of
 from fleettrack.llm.token_counts import token_counts
 
 
@@ -13,7 +13,7 @@ def test_pretokens_are_the_library_s(paths, tokenizer):
     rnd = random.Random(2)
     signs = [*"ab'sdtmrevlL  \n\t1٣²!?é— 　漢🙂", "<|endoftext|>"]
     texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 30))) for _ in range(4000)]
-    table = pretokens.PieceTable(paths["ranks"], paths["pattern"], most=2000)
+    table = pretokens.PieceTable(paths["json"], most=2000)
     for a in range(0, len(texts), 500):
         ids, sizes = pretokens.ids_of(texts[a : a + 500], table)
         ends = np.cumsum(sizes)
@@ -23,7 +23,7 @@ def test_pretokens_are_the_library_s(paths, tokenizer):
 
 @pytest.mark.parametrize("window", [16, 64])
 def test_round_trip(spark, odd, odd_rows, paths, tokenizer, window):
-    out = pack_documents(odd, paths["ranks"], paths["pattern"], window=window, group_windows=8).toPandas()
+    out = pack_documents(odd, paths["json"], window=window, group_windows=8).toPandas()
     want = sorted(([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1] for r in odd_rows), key=len)
     assert out.groupby("doc_id", dropna=False)["length"].sum().sum() == sum(map(len, want))
     once = [r for r in odd_rows if r[0] is not None and sum(x[0] == r[0] for x in odd_rows) == 1]
@@ -40,18 +40,74 @@ def test_round_trip(spark, odd, odd_rows, paths, tokenizer, window):
 
 def test_windows_follow_the_mixture():
     totals = [70_003, 20_011, 9_000, 3]
-    groups = -(-sum(totals) // (64 * 128))
+    plan = Plan(totals, totals, 64, 128)
     taken = np.zeros(4, np.int64)
-    for g in range(groups):
-        plan = Schedule(totals, g, groups, 64)
-        sizes = np.diff(plan.cum, axis=1)
-        assert (sizes >= 0).all() and (sizes.sum(0)[:-1] == 64).all()
-        taken += plan.cum[:, -1]
+    for g in range(plan.groups):
+        schedule = plan.schedule(g)
+        sizes = np.diff(schedule.cum, axis=1)
+        assert (sizes >= 0).all() and (sizes.sum(0)[:-1] == 64).all() and sizes.shape[1] < plan.stride
+        taken += schedule.cum[:, -1]
         share = np.array(totals) / sum(totals) * 64
         assert (np.abs(sizes[:3, :-2] - share[:3, None]) <= 2).all()
+        assert np.abs(schedule.owed[:, :-2]).max() <= 3
     assert taken.tolist() == totals
 
 
+def test_windows_follow_targets_until_a_queue_is_empty():
+    totals = {"=a": 50_000, "=b": 50_000, "=c": 8_000, "": 8_000}
+    weights = weights_of(totals, {"a": 0.5, "b": 0.25, None: 0.05})
+    assert np.allclose(np.array(weights) / sum(weights), [0.05, 0.5, 0.25, 0.2], atol=1e-6)
+    plan = Plan([totals[q] for q in sorted(totals)], weights, 200, 32)
+    sizes = np.concatenate([np.diff(plan.schedule(g).cum, axis=1)[:, :-1] for g in range(plan.groups)], axis=1)
+    share = np.array(weights) / sum(weights) * 200
+    early = sizes[:, : 40_000 // 200 - plan.groups]  # "=c" is the first to be empty, after 40,000 tokens of all queues
+    assert (np.abs(early - share[:, None]) <= 2).all() and (np.abs(early.cumsum(1) - share[:, None] * np.arange(1, early.shape[1] + 1)) <= 4 + plan.groups).all()
+    late = sizes[:, 45_000 // 200 : 85_000 // 200]  # the others share what "=c" leaves; "=a" is empty after 88,000
+    assert (np.abs(late - (share * [1, 1, 1, 0] / 0.8)[:, None]) <= 3).all()
+    assert sum(plan.schedule(g).cum[:, -1] for g in range(plan.groups)).tolist() == [totals[q] for q in sorted(totals)]
+    with pytest.raises(ValueError):
+        weights_of(totals, {"a": 0})
+
+
+def test_more_sources_than_queues(spark, paths, tokenizer):
+    rnd = random.Random(9)
+    rows = [(k, " ".join(rnd.choice(["one", "two", "three"]) for _ in range(rnd.randint(1, 40))), f"s{rnd.choice([0, 0, 0, rnd.randrange(40)])}") for k in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = pack_documents(df, paths["json"], window=512, group_windows=8, max_queues=3, targets={"s7": 0.2}).toPandas()
+    assert out["queue"].nunique() == 4 and "=s7" in set(out["queue"])
+    sizes = {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t, _ in rows}
+    assert out.groupby("doc_id")["length"].sum().to_dict() == sizes
+    for _, g in out.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == (g["length"].cumsum() - g["length"]).tolist() and g["length"].sum() <= 512
+    source = {d: s for d, _, s in rows}
+    mine = out[out["queue"] == out[out["doc_id"].map(source) == "s0"]["queue"].iloc[0]].sort_values(["sequence_id", "offset"])
+    total, hot = mine["length"].cumsum(), mine["length"].where(mine["doc_id"].map(source) == "s0", 0).cumsum()
+    share, others = hot.iloc[-1] / total.iloc[-1], mine["doc_id"].map(source).nunique() - 1
+    assert others > 5 and (np.abs(hot - share * total) <= (1 + others / 2) * max(sizes.values())).all()  # each source is a document off at most, to either side
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_pieces_that_share_a_hash_are_told_apart(spark, paths, tokenizer, n):
+    """Polynomial hashes modulo 2^64 are equal for a Thue-Morse word and its complement."""
+    one = thue_morse(n)
+    two = one.translate(str.maketrans("ab", "ba"))
+    codes = pretokens.codes_of([one, two])
+    assert len(set(pretokens.hashes_of(codes, pretokens.starts_of(codes)).tolist())) == 2  # two words and their two ends: the hashes do collide
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in (one, two)]
+    for texts in ([one, two], [two, one], [one], [two]):
+        table = pretokens.PieceTable(paths["json"])
+        ids, sizes = pretokens.ids_of(texts, table)
+        assert np.split(ids, np.cumsum(sizes)[:-1])[0].tolist() == want[texts[0] == two]
+        assert ids.tolist() == sum((want[t == two] for t in texts), [])
+    df = spark.createDataFrame([(1, one), (2, two), (3, f"{one} {two} {one}")], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts(df, paths["json"]).collect()} == {k: len(tokenizer.encode(t, add_special_tokens=False).ids) for k, t in ((1, one), (2, two), (3, f"{one} {two} {one}"))}
+
+
 def test_token_counts(odd, odd_rows, paths, tokenizer):
     got = token_counts(odd, paths["json"]).collect()
     want = [(r[0], len((r[1] or "").encode()), n := len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids), n > 1024) for r in odd_rows]
@@ -60,5 +116,5 @@ def test_token_counts(odd, odd_rows, paths, tokenizer):
 
 def test_empty_tables(odd, paths):
     empty = odd.limit(0)
-    assert pack_documents(empty, paths["ranks"], paths["pattern"]).count() == 0
+    assert pack_documents(empty, paths["json"]).count() == 0
     assert token_counts(empty, paths["json"]).count() == 0
