@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import delete, made_since, mark, place_of, stored
 
 
 #: Links that one task writes in a round; small tables are written by few tasks.
@@ -33,15 +33,17 @@ def _are_stars(edges: DataFrame) -> bool:
     return not odd.agg(F.count(F.lit(1))).first()[0]
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of `edges` (a, b long): component is the smallest node reachable."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of `edges` (a, b long): component is the smallest node reachable. Each round lowers labels until none changes; its tables go when the next round's are written."""
+    spark = edges.sparkSession
     now = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    width = max(4, -(-now.count() // PER_TASK))
-    for _ in range(most_rounds):
-        if _are_stars(now):
-            break
+    width = max(4, -(-now.count() // PER_TASK))  # in proportion to the links
+    old = place_of(now)
+    while not _are_stars(now):
+        number = mark()
         now = stored(_star(_star(now, True, width), False, width).coalesce(width), "edges")
-    else:
-        raise RuntimeError("components did not settle")
+        *inner, new = made_since(number)
+        delete(spark, [old, *inner])
+        old = new
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

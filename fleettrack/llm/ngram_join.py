@@ -25,15 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_or_empty
+from .common import shuffle_width, slices, stored, text_or_empty
 from .components import components
 from .pretokens import chunks
 from .shingles import shingle_sets
 
 PART = "bucket long, block long, hashes binary, counts binary"
-OWN = "block long, bucket long, codes binary, hashes binary, docs binary, ids binary, sizes binary, sigs binary, index binary"
+ANSWER = "block long, bucket long, codes binary, hashes binary, total long"
+OWN = "block long, bucket long, codes binary, hashes binary, total long, docs binary, ids binary, sizes binary, sigs binary, index binary"
 OWN_NAMES = [x.split()[0] for x in OWN.split(", ")]
 SETS = "doc_id long, n long, sig binary, tokens binary"
+#: Bits of a shingle's hash that its key holds, below its frequency.
+KEY_BITS = 56
 FAMILY = 512
 
 
@@ -81,37 +84,65 @@ def _cut(distinct: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return list(zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True))
 
 
-def _low(distinct: np.ndarray, bits: int) -> np.ndarray:
-    """The 32 bits behind a bucket's bits."""
-    return (distinct >> np.uint64(32 - bits) & np.uint64(0xFFFFFFFF)).astype("<u4")
+def _width(bits: int) -> int:
+    """Bytes behind a bucket's bits that complete KEY_BITS."""
+    return -(-(KEY_BITS - bits) // 8)
 
 
-def _frequencies(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The answer of one bucket to its blocks: a code that rises with a hash's number of documents (0: one), and the hashes that have more."""
-    lens = np.array([len(x) // 4 for x in pdf["hashes"]])
-    h = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["hashes"]])
-    n = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["counts"]])
-    _, inverse = np.unique(h, return_inverse=True)
-    code = np.minimum(255, np.rint(12 * np.log2(np.bincount(inverse, n)))).astype(np.uint8)[inverse]
-    ends = np.cumsum(lens)
-    codes = [code[b - k : b] for b, k in zip(ends, lens, strict=True)]
-    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "codes": [c.tobytes() for c in codes], "hashes": [h[b - k : b][c > 0].tobytes() for b, k, c in zip(ends, lens, codes, strict=True)]})
+def _low(distinct: np.ndarray, bits: int) -> bytes:
+    """Of each hash the bytes behind its bucket's bits."""
+    width = _width(bits)
+    rest = (distinct << np.uint64(bits)) >> np.uint64(64 - 8 * width)
+    return rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _shared(share: int):
+def _wide(raw: bytes, width: int) -> np.ndarray:
+    """What `_low` gave, as numbers."""
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _frequencies(bits: int):
+    width = _width(bits)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The answer of one bucket to its blocks: a code that rises with a hash's number of documents (0: one), the hashes that have more, and the sum of all that were asked for."""
+        lens = np.array([len(x) // width for x in pdf["hashes"]])
+        h = _wide(b"".join(pdf["hashes"]), width)
+        n = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["counts"]])
+        _, inverse = np.unique(h, return_inverse=True)
+        code = np.minimum(255, np.rint(12 * np.log2(np.bincount(inverse, n)))).astype(np.uint8)[inverse]
+        ends = np.cumsum(lens)
+        codes = [code[b - k : b] for b, k in zip(ends, lens, strict=True)]
+        raw = h.view(np.uint8).reshape(-1, 8)[:, :width]
+        hashes = [raw[b - k : b][c > 0].tobytes() for b, k, c in zip(ends, lens, codes, strict=True)]
+        total = [int(h[b - k : b].sum(dtype=np.uint64).astype(np.int64)) for b, k in zip(ends, lens, strict=True)]
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "codes": [c.tobytes() for c in codes], "hashes": hashes, "total": total})
+
+    return run
+
+
+def _shared(share: int, bits: int):
+    width = _width(bits)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One block's documents; those that may link have their shared shingles in order, as 64-bit keys: frequency code, then hash."""
+        """One block's documents; those that may link have their shared shingles in order, as 64-bit keys: frequency code, then KEY_BITS of the hash."""
         answers = pdf[pdf["docs"].isna()].sort_values("bucket")
         own = pdf[pdf["docs"].notna()].iloc[0]
         known, ids = np.frombuffer(own["docs"], np.uint8).astype(bool), np.frombuffer(own["ids"], "<i8")
         sizes = np.frombuffer(own["sizes"], "<u4").astype(np.int64)
         sigs = [own["sigs"][k : k + 16] for k in range(0, 16 * len(ids), 16)]
         code = np.frombuffer(b"".join(answers["codes"]), np.uint8)
-        low = np.frombuffer(b"".join(answers["hashes"]), "<u4").astype(np.uint64)
-        bucket = np.repeat(answers["bucket"].to_numpy(np.uint64), [len(x) // 4 for x in answers["hashes"]])
+        low = _wide(b"".join(answers["hashes"]), width)
+        bucket = np.repeat(answers["bucket"].to_numpy(np.uint64), [len(x) // width for x in answers["hashes"]])
         key = np.zeros(len(code), np.uint64)
-        key[code > 0] = code[code > 0].astype(np.uint64) << np.uint64(56) | (bucket << np.uint64(32) | low) & np.uint64((1 << 56) - 1)
+        known_hash = (bucket << np.uint64(8 * width) | low) >> np.uint64(bits + 8 * width - KEY_BITS)
+        key[code > 0] = code[code > 0].astype(np.uint64) << np.uint64(KEY_BITS) | known_hash
         index = np.frombuffer(own["index"], "<u4")
+        asked = int(answers["total"].to_numpy(np.int64).view(np.uint64).sum(dtype=np.uint64).astype(np.int64))
+        if asked != own["total"]:
+            raise RuntimeError("the documents came in another order when they were read again: store them first")
         keys = key[index]
         tokens: list[bytes | None] = []
         at, done = 0, set()
@@ -132,27 +163,27 @@ def _shared(share: int):
 
 def shared_sets(docs: DataFrame, size: int, share: int, most: int = 1_500_000) -> DataFrame:
     """doc_id, n (set size), sig (of the set), and tokens for one document of each set and block that may link."""
-    bits = max(8, (8 * docs.rdd.getNumPartitions() - 1).bit_length())
-    bits = min(bits, 24)
+    bits = min(24, max(8, (8 * shuffle_width(docs) - 1).bit_length()))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, size, most):
             distinct, _, count = block.distinct()
-            low, count = _low(distinct, bits), np.minimum(count, 255).astype(np.uint8)
+            count = np.minimum(count, 255).astype(np.uint8)
             for bucket, a, b in _cut(distinct, bits):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([block.number]), pa.array([low[a:b].tobytes()]), pa.array([count[a:b].tobytes()])], names=["bucket", "block", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([block.number]), pa.array([_low(distinct[a:b], bits)]), pa.array([count[a:b].tobytes()])], names=["bucket", "block", "hashes", "counts"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, size, most):
             if block.docs:
-                _, inverse, _ = block.distinct()
+                distinct, inverse, _ = block.distinct()
+                total = int(_wide(_low(distinct, bits), _width(bits)).sum(dtype=np.uint64).astype(np.int64))
                 ids, sizes, sigs = zip(*block.docs, strict=True)
-                values = [block.number, None, None, None, np.array([i is not None for i in ids], np.uint8).tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), b"".join(s.ljust(16, b"\0") for s in sigs), inverse.astype("<u4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), pa.int64(), *[pa.binary()] * 7], strict=True)], names=OWN_NAMES)
+                values = [block.number, None, None, None, total, np.array([i is not None for i in ids], np.uint8).tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), b"".join(s.ljust(16, b"\0") for s in sigs), inverse.astype("<u4").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=OWN_NAMES)
 
-    answers = docs.mapInArrow(ask, PART).groupBy("bucket").applyInPandas(_frequencies, "block long, bucket long, codes binary, hashes binary")
+    answers = docs.mapInArrow(ask, PART).groupBy("bucket").applyInPandas(_frequencies(bits), ANSWER)
     both = docs.mapInArrow(own, OWN).unionByName(answers, allowMissingColumns=True)
-    return both.groupBy("block").applyInPandas(_shared(share), SETS)
+    return both.groupBy("block").applyInPandas(_shared(share, bits), SETS)
 
 
 class Trie:
@@ -269,7 +300,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: int = 80, id_col:
     families = components(prefix.join(least, "token").where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")))
     families = families.withColumnRenamed("component", "family")
     counts = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("blocks"))
-    counts = stored(counts.coalesce(64), "family-sizes")
+    counts = stored(counts, "family-sizes")
     placed = held.join(families, "node").join(counts, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     now = stored(placed.select("node", "n", "tokens", "family", "blocks", "block", F.col("node").alias("comp")), "families")
     walk = _trie_join(share)
@@ -287,10 +318,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: int = 80, id_col:
                 walkers = here.join(chosen, "node", "left_semi")  # a component's id is one of its members
             else:
                 largest = sizes.groupBy("family").agg(F.max(F.struct("members", F.negate("comp").alias("c"))).alias("m")).select("family", F.negate(F.col("m.c")).alias("top"))
-                walkers = here.join(stored(largest.coalesce(16), "largest"), "family").where("comp != top")
+                walkers = here.join(stored(largest, "largest"), "family").where("comp != top")
             salted = walkers.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)))
             chunk = walkers.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("parts"))
-            chunk = stored(chunk.coalesce(16), "walker-parts")
+            chunk = stored(chunk, "walker-parts")
             walkers = salted.join(chunk, "family").withColumn("part", (F.col("part") % F.col("parts")).cast("int"))
             walkers = walkers.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             held_here = here.join(chunk, "family").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -103,6 +103,35 @@ def hashes_of(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (total[ends] - total[starts]) * _cached_powers[1][starts]
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte of `data` on, as one number each; zeros follow the last byte."""
+    raw = data.tobytes() + bytes(8)
+    return np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+
+
+def low_bytes(n: np.ndarray) -> np.ndarray:
+    """Masks of the lowest n bytes of a number, 0 to 8."""
+    return np.where(n >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.uint64(8) * np.minimum(n, 7).astype(np.uint64))) - np.uint64(1))
+
+
+def _alike(data: np.ndarray, start: np.ndarray, size: np.ndarray, start_2: np.ndarray, size_2: np.ndarray) -> bool:
+    """Whether each run of `data` has the contents of its second run. Eight bytes at a time, and the long rest of long runs whole."""
+    if not (size == size_2).all():
+        return False
+    width = data.itemsize
+    left = np.flatnonzero(start != start_2)
+    view, a, b, rest = eights(data), start[left] * width, start_2[left] * width, size[left] * width
+    for _ in range(8):
+        if not len(a):
+            return True
+        if ((view[a] ^ view[b]) & low_bytes(rest)).any():
+            return False
+        more = rest > 8
+        a, b, rest = a[more] + 8, b[more] + 8, rest[more] - 8
+    raw = data.view(np.uint8)
+    return all((raw[x : x + n] == raw[y : y + n]).all() for x, y, n in zip(a.tolist(), b.tolist(), rest.tolist(), strict=True))
+
+
 def distinct_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, number): runs data[start:end] of the same contents have one number, and `first` has the first run of each number.
 
@@ -110,11 +139,8 @@ def distinct_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.
     their contents are the keys.
     """
     _, first, number = np.unique(key, return_index=True, return_inverse=True)
-    size, like = end - start, first[number]
-    if (size == size[like]).all():
-        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        if (data[np.repeat(start, size) + within] == data[np.repeat(start[like], size) + within]).all():
-            return first, number
+    if _alike(data, start, end - start, start[first[number]], (end - start)[first[number]]):
+        return first, number
     blob, width, place = data.tobytes(), data.itemsize, {}
     number = np.fromiter((place.setdefault(blob[a:b], len(place)) for a, b in zip((start * width).tolist(), (end * width).tolist(), strict=True)), np.int64, len(start))
     return np.unique(number, return_index=True)[1], number

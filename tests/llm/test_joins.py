@@ -79,6 +79,29 @@ def test_jaccard_components(spark, monkeypatch, family):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows) and len(got) == len(rows)
 
 
+def test_words_that_share_a_polynomial_hash_are_told_apart(spark):
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    a, b, c = shingle_sets([one, two, one.upper()])
+    assert a.tolist() != b.tolist() and a.tolist() == c.tolist()
+    rows = [(1, one), (2, two), (3, one), (4, f"{one} b c d e"), (5, f"{two} b c d e"), (6, "x" * 100_000 + "y"), (7, "x" * 100_000 + "z")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows)
+
+
+def test_shared_sets_notice_another_order(spark):
+    """The texts are read twice; if the second reading has another order, that is an error and no wrong link."""
+    df = spark.createDataFrame([(k, f"some words of text {k} {k % 3}") for k in range(400)], "doc_id long, text string").coalesce(1)
+
+    def other_words(parts):
+        for pdf in parts:
+            yield pdf.assign(text=[f"{t} {random.SystemRandom().random()}" for t in pdf["text"]])
+
+    shuffled = df.mapInPandas(other_words, df.schema)
+    with pytest.raises(Exception, match="another order"):
+        ngram_join.shared_sets(shuffled, 5, 80).count()
+
+
 def test_jaccard_odd_rows(odd, odd_rows):
     got = ngram_join.jaccard_components(odd).collect()
     assert len(got) == len(odd_rows)
