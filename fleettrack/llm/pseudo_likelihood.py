@@ -2,21 +2,25 @@
 
 Words are predicted from `REACH` words on each side: the sum of place-dependent word vectors goes through tanh to a two-step softmax, first
 over classes of words, then over the words of the class. A text's score is the sum of log P(word | both sides) over all its words.
-Words are counted over all documents. The most frequent ones are predicted by the network; all others share `OTHERS` hashed places, and
-log P of such a word is that of its place plus log(its count / the count of its place), from the table of all words' counts. Training is data-parallel: in each round every task starts from the common weights,
-goes over its own documents (in `rounds` rounds every word is a target once, all words are context) and gives its weights back, which are averaged
-by the number of targets in two levels, so what is gathered grows with the input and no task meets all of it.
 
-Contracts: null and empty texts have no words: n_words 0, log_prob 0, mean null; words that were not counted are taken as counted once;
-very long texts are whole; repeated ids are scored each; an empty table gives an empty result; extra columns are ignored.
+1. Texts are dealt to shards by a hash of id and text, sorted there, and split into words once: a piece holds some two million words as numbers
+   of its own word list. What a piece holds thus depends on the documents alone, not on how the input was cut.
+2. Every piece's word counts go to buckets by a hash of the word; a bucket adds them up over all documents and answers each piece.
+   The `words` most frequent ones are predicted by the network as themselves. All others share `OTHERS` hashed places, and log P of such a word
+   is that of its place plus log(its count / the count of its place), from these totals.
+3. Training is data-parallel: in each round every piece starts from the common weights, goes over its words by Adagrad (in `rounds` rounds every
+   word is a target once, all words are context), and the weights are averaged by the number of targets, in two levels.
+4. Pieces meet the totals of their words and are scored.
+
+Contracts: null and empty texts have no words: n_words 0, log_prob 0, mean null; very long texts are whole; repeated ids and rows are
+scored each; null ids stay null; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from array import array
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,34 +29,136 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_or_empty
+from .common import shuffle_width, slices, stored, text_or_empty
 
-REACH, HIDDEN, CLASSES, OTHERS = 2, 24, 48, 32
+REACH, HIDDEN, CLASSES, OTHERS = 2, 16, 40, 32
+SHIFTS = [s for s in range(-REACH, REACH + 1) if s]
 WORD = re.compile(r"\w+|[^\w\s]")
-PIECES = 16
-#: Rare words that a piece of scored texts holds at most, about.
-HELD = 150_000
+PARTS = 16
+#: Characters of a shard, about, and words of a piece (a shard is one piece, but where single texts or repeated rows make it large).
+SHARD_CHARS, PIECE_WORDS = 10_000_000, 4_000_000
+#: Weights stay within these bounds.
+MOST = 8.0
+
+PIECES = "piece long, doc_ids binary, known binary, lens binary, ids binary, words binary, counts binary"
+ASKED = "bucket long, piece long, words binary, at binary, counts binary"
+TOTALS = "bucket long, piece long, at binary, n binary, word string, total long"
+SCORES = "doc_id long, n_words long, log_prob double, mean_log_prob double"
 
 
-def word_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
-    """(word, n) over all of `docs` (column text)."""
+def _batch(spec: str, *rows: tuple) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64()}
+    fields = [x.split() for x in spec.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
 
-        def flush():
-            words = list(held)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([held[w] for w in words], pa.int64())], names=["word", "n"])
-            held.clear()
+# ---- words
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^24 as three runs of bytes, of which the higher ones are mostly zeros and pack well."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    parts = np.frombuffer(raw, np.uint8).reshape(3, -1).astype(np.int64)
+    return parts[0] | parts[1] << 8 | parts[2] << 16
+
+
+class _Piece:
+    """Texts as numbers of the piece's own words."""
+
+    def __init__(self):
+        self.place: defaultdict[str, int] = defaultdict()
+        self.place.default_factory = self.place.__len__
+        self.ids: list[int] = []
+        self.lens: list[int] = []
+        self.docs: list[int | None] = []
+
+    def add(self, doc: int | None, text: str) -> None:
+        words = WORD.findall(text.lower())
+        self.ids.extend(map(self.place.__getitem__, words))
+        self.lens.append(len(words))
+        self.docs.append(doc)
+
+    def full(self, most: int) -> bool:
+        return len(self.ids) >= most or len(self.place) >= 1 << 23
+
+    def row(self, number: int) -> tuple:
+        ids, words = np.array(self.ids, np.int64), list(self.place)
+        count = np.bincount(ids, minlength=len(words))
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        known = np.array([d is not None for d in self.docs], np.uint8)
+        docs = np.array([d or 0 for d in self.docs], "<i8")
+        return number, docs.tobytes(), known.tobytes(), np.array(self.lens, "<u4").tobytes(), planes(rank[ids]), "\n".join([words[k] for k in order.tolist()]).encode("utf-8", "surrogatepass"), count[order].astype("<u4").tobytes()
 
-        for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                held.update(WORD.findall(text.lower()))
-            if len(held) > most:
-                yield from flush()
-        yield from flush()
 
-    return docs.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def words_of(raw: bytes) -> list[str]:
+    return raw.decode("utf-8", "surrogatepass").split("\n") if raw else []
+
+
+def pieces_of(docs: DataFrame, most: int = PIECE_WORDS) -> DataFrame:
+    """Pieces of `docs` (doc_id, text); one ends with the text that brings it to `most` words."""
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    shards = max(1, -(-chars // SHARD_CHARS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        piece, number = _Piece(), TaskContext.get().partitionId() << 24
+        for batch in slices(batches):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                piece.add(doc, text)
+                if piece.full(most):
+                    yield _batch(PIECES, piece.row(number))
+                    piece, number = _Piece(), number + 1
+        if piece.docs:
+            yield _batch(PIECES, piece.row(number))
+
+    dealt = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    dealt = dealt.repartitionById(shards, F.pmod("key", F.lit(shards)).cast("int")).sortWithinPartitions("key", "doc_id")
+    return dealt.select("doc_id", "text").mapInArrow(run, PIECES)
+
+
+def place_of_word(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+def word_totals(pieces: DataFrame, words: int) -> DataFrame:
+    """Two kinds of rows: for a piece and bucket the totals (`n`) of the piece's words `at`; and the bucket's `words` most frequent words with their totals, beside its sum (no word)."""
+    buckets = OTHERS * -(-8 * shuffle_width(pieces) // OTHERS)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            for r in batch.to_pylist():
+                every, counts = words_of(r["words"]), np.frombuffer(r["counts"], "<u4")
+                bucket = np.array([place_of_word(w) % buckets for w in every], np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for b in np.unique(bucket).tolist():
+                    at = order[cut[b] : cut[b + 1]]
+                    yield _batch(ASKED, (b, r["piece"], "\n".join([every[k] for k in at.tolist()]).encode("utf-8", "surrogatepass"), at.astype("<u4").tobytes(), counts[at].tobytes()))
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("piece")
+        place: defaultdict[str, int] = defaultdict()
+        place.default_factory = place.__len__
+        rows = [np.fromiter(map(place.__getitem__, words_of(raw)), np.int64) for raw in pdf["words"]]
+        counts = [np.frombuffer(raw, "<u4") for raw in pdf["counts"]]
+        total = np.bincount(np.concatenate(rows), np.concatenate(counts), minlength=len(place)).astype(np.int64)
+        every = np.array(list(place), object)
+        top = sorted(np.argsort(-total, kind="stable")[: 4 * words].tolist(), key=lambda k: (-total[k], every[k]))[:words]
+        bucket, size = int(pdf["bucket"].iloc[0]), len(pdf)
+        return pd.DataFrame({
+            "bucket": [bucket] * (size + len(top) + 1), "piece": [*pdf["piece"].tolist(), *[-1] * (len(top) + 1)], "at": [*pdf["at"].tolist(), *[None] * (len(top) + 1)],
+            "n": [*[total[r].astype("<i8").tobytes() for r in rows], *[None] * (len(top) + 1)], "word": [*[None] * size, *[every[k] for k in top], None],
+            "total": [*[0] * size, *total[top].tolist(), int(total.sum())],
+        })
+
+    asked = pieces.select("piece", "words", "counts").mapInArrow(ask, ASKED)
+    return asked.groupBy("bucket").applyInPandas(answer, TOTALS)
 
 
 class Vocabulary:
@@ -60,26 +166,34 @@ class Vocabulary:
 
     def __init__(self, counts: list[tuple[str, int]], rest: int):
         self.place = {w: 1 + OTHERS + k for k, (w, _) in enumerate(counts)}
-        self.known = dict(self.place)
         mass = np.sqrt(np.array([1.0, *[1.0 + rest / OTHERS] * OTHERS, *[n for _, n in counts]]))
         self.size = len(mass)
         kind = np.minimum((np.cumsum(mass) - mass) / mass.sum() * CLASSES, CLASSES - 1).astype(np.int64)
         self.kind = np.unique(kind, return_inverse=True)[1]
         self.edges = np.append(np.flatnonzero(np.diff(self.kind, prepend=-1)), self.size)
 
-    def ids(self, text: str, rare: list[list[str]] | None = None) -> list[int]:
-        """Ids of the words of `text`; `rare` gets the list of its rare words."""
-        get, other, words = self.known.get, self.other, WORD.findall(text.lower())
-        if rare is not None:
-            rare.append([w for w in words if w not in self.place])
-        return [get(w) or other(w) for w in words]
+    def ids(self, words: list[str]) -> np.ndarray:
+        """The id of each word."""
+        get = self.place.get
+        return np.array([get(w) or 1 + place_of_word(w) % OTHERS for w in words], np.int64)
+
+
+# ---- the network
+
+
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    """By column, in place."""
+    z -= z.max(0)
+    z -= np.log(np.exp(z).sum(0))
+    return z
+
 
-    def other(self, word: str) -> int:
-        """The hashed place of a rare word, which is remembered."""
-        if len(self.known) > 300_000:
-            self.known = dict(self.place)
-        self.known[word] = k = 1 + zlib.crc32(word.encode("utf-8", "replace")) % OTHERS
-        return k
+def softmax(z: np.ndarray) -> np.ndarray:
+    """By column, in place."""
+    z -= z.max(0)
+    np.exp(z, out=z)
+    z /= z.sum(0)
+    return z
 
 
 class Network:
@@ -88,216 +202,183 @@ class Network:
     def __init__(self, vocab: Vocabulary, flat: np.ndarray | None = None):
         self.vocab = vocab
         n = len(vocab.edges) - 1
-        self.shapes = [(2 * REACH, vocab.size, HIDDEN), (HIDDEN, n), (n,), (vocab.size, HIDDEN), (vocab.size,)]
+        self.shapes = [(2 * REACH, vocab.size, HIDDEN), (n, HIDDEN), (n,), (vocab.size, HIDDEN), (vocab.size,)]
         sizes = [int(np.prod(s)) for s in self.shapes]
         if flat is None:
-            flat = (np.random.default_rng(11).standard_normal(sum(sizes)) * 0.1).astype(np.float32)
+            flat = np.random.default_rng(11).standard_normal(sum(sizes)) * 0.1
         self.flat = flat.astype(np.float32).copy()
         cut = np.cumsum([0, *sizes])
         self.tables, self.classes, self.class_bias, self.words, self.word_bias = (self.flat[a:b].reshape(s) for a, b, s in zip(cut, cut[1:], self.shapes, strict=False))
+        rows = self.tables.reshape(-1, HIDDEN), self.classes, self.class_bias[:, None], self.words, self.word_bias[:, None]
+        self.rows = [(r, np.full((len(r), 1), 1e-6, np.float32)) for r in rows]  # a vector for each word or class, and Adagrad's sum of its mean squares
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(at), HIDDEN), np.float32)
-        for k, shift in enumerate([s for s in range(-REACH, REACH + 1) if s]):
+        """(HIDDEN, targets)."""
+        x = self.tables[0][ids[at + SHIFTS[0]]]
+        for k, shift in enumerate(SHIFTS[1:], 1):
             x += self.tables[k][ids[at + shift]]
-        return np.tanh(x)
+        x = np.ascontiguousarray(x.T)
+        return np.tanh(x, out=x)
+
+    def _by_class(self, y: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(first word, end, first target, end) of each class of several words, for targets in the order of classes."""
+        cut = np.searchsorted(self.vocab.kind[y], np.arange(len(self.vocab.edges))).tolist()
+        edges = self.vocab.edges.tolist()
+        return ((a, b, i, j) for a, b, i, j in zip(edges[:-1], edges[1:], cut[:-1], cut[1:], strict=True) if j > i and b - a > 1)
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log P(ids[at] | neighbours)."""
-        h, y, kind = self.hidden(ids, at), ids[at], self.vocab.kind[ids[at]]
-        z = h @ self.classes + self.class_bias
-        out = z[np.arange(len(at)), kind] - np.log(np.exp(z).sum(1))
-        order = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(len(self.vocab.edges)))
-        for c in range(len(self.vocab.edges) - 1):
-            rows = order[cut[c] : cut[c + 1]]
-            a, b = self.vocab.edges[c], self.vocab.edges[c + 1]
-            if len(rows) and b - a > 1:
-                z = h[rows] @ self.words[a:b].T + self.word_bias[a:b]
-                out[rows] += z[np.arange(len(rows)), y[rows] - a] - np.log(np.exp(z).sum(1))
-        return out
+        order = np.argsort(self.vocab.kind[ids[at]], kind="stable")
+        at = at[order]
+        h, y = self.hidden(ids, at), ids[at]
+        out = log_softmax(self.classes @ h + self.class_bias[:, None])[self.vocab.kind[y], np.arange(len(at))]
+        for a, b, i, j in self._by_class(y):
+            out[i:j] += log_softmax(self.words[a:b] @ h[:, i:j] + self.word_bias[a:b, None])[y[i:j] - a, np.arange(j - i)]
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    def gradients(self, ids: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of the mean of -log P over the targets `at`, for each of `rows`: (the vectors' numbers, their gradients)."""
+        at = at[np.argsort(self.vocab.kind[ids[at]], kind="stable")]
+        h, y, n = self.hidden(ids, at), ids[at], len(at)
+        p = softmax(self.classes @ h + self.class_bias[:, None])
+        p[self.vocab.kind[y], np.arange(n)] -= 1
+        back = self.classes.T @ p
+        words, word_bias = np.zeros_like(self.words), np.zeros((len(self.words), 1), np.float32)
+        for a, b, i, j in self._by_class(y):
+            own = h[:, i:j]
+            q = softmax(self.words[a:b] @ own + self.word_bias[a:b, None])
+            q[y[i:j] - a, np.arange(j - i)] -= 1
+            back[:, i:j] += self.words[a:b].T @ q
+            words[a:b] = q @ own.T
+            word_bias[a:b, 0] = q.sum(1)
+        back *= 1 - h * h
+        back = np.ascontiguousarray(back.T)
+        seen = np.concatenate([ids[at + shift] + k * self.vocab.size for k, shift in enumerate(SHIFTS)])
+        order = np.argsort(seen, kind="stable")
+        seen = seen[order]
+        first = np.flatnonzero(np.diff(seen, prepend=-1))
+        tables = np.add.reduceat(back[order % n], first, axis=0)
+        whole = slice(None)
+        return [(seen[first], tables / n), (whole, p @ h.T / n), (whole, p.sum(1)[:, None] / n), (whole, words / n), (whole, word_bias / n)]
 
     def step(self, ids: np.ndarray, at: np.ndarray, rate: float) -> None:
-        """One stochastic gradient step on the targets `at`."""
-        h, y, kind = self.hidden(ids, at), ids[at], self.vocab.kind[ids[at]]
-        n = len(at)
-        z = h @ self.classes + self.class_bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), kind] -= 1
-        back = p @ self.classes.T
-        self.classes -= rate * (h.T @ p) / n
-        self.class_bias -= rate * p.sum(0) / n
-        order = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(len(self.vocab.edges)))
-        for c in range(len(self.vocab.edges) - 1):
-            rows = order[cut[c] : cut[c + 1]]
-            a, b = self.vocab.edges[c], self.vocab.edges[c + 1]
-            if len(rows) and b - a > 1:
-                z = h[rows] @ self.words[a:b].T + self.word_bias[a:b]
-                q = np.exp(z - z.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                q[np.arange(len(rows)), y[rows] - a] -= 1
-                back[rows] += q @ self.words[a:b]
-                self.words[a:b] -= rate * (q.T @ h[rows]) / n
-                self.word_bias[a:b] -= rate * q.sum(0) / n
-        back *= (1 - h * h) * (rate / n)
-        for k, shift in enumerate([s for s in range(-REACH, REACH + 1) if s]):
-            np.subtract.at(self.tables[k], ids[at + shift], back)
-        np.clip(self.flat, -8, 8, out=self.flat)
-
-
-def _windows(texts: list[str], vocab: Vocabulary, rare: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One step of Adagrad, by vector, on the targets `at`."""
+        for (row, total), (which, grad) in zip(self.rows, self.gradients(ids, at), strict=True):
+            now = total[which] + np.einsum("ij,ij->i", grad, grad)[:, None] / grad.shape[1]
+            total[which] = now
+            row[which] -= (rate / np.sqrt(now)) * grad
+
+
+def windows(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts with edges between, places of the words, and the text of each word."""
-    ids, lens = [0] * REACH, []
-    for text in texts:
-        own = vocab.ids(text, rare)
-        ids += own + [0] * REACH
-        lens.append(len(own))
-    lens = np.array(lens, np.int64)
-    owner = np.repeat(np.arange(len(texts)), lens)
-    return np.array(ids, np.int64), np.arange(len(owner)) + REACH * (owner + 1), owner
+    owner = np.repeat(np.arange(len(lens)), lens)
+    at = np.arange(len(ids)) + REACH * (owner + 1)
+    out = np.zeros(len(ids) + REACH * (len(lens) + 1), np.int64)
+    out[at] = ids
+    return out, at, owner
 
 
-def _targets(at: np.ndarray, owner: np.ndarray, number: int, rounds: int) -> np.ndarray:
+def targets(at: np.ndarray, owner: np.ndarray, number: int, rounds: int) -> np.ndarray:
     """Of the words at `at`, those that round `number` trains: over all rounds, every word of every text once."""
     place = np.arange(len(at)) - np.searchsorted(owner, owner)
     return at[place % rounds == number]
 
 
-def _runs(texts: list[str], chars: int = 400_000):
-    first, held = 0, 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held >= chars:
-            yield first, k + 1
-            first, held = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def train_piece(net: Network, ids: np.ndarray, lens: np.ndarray, number: int, rounds: int, rate: float, batch_size: int) -> int:
+    """Goes over one round's targets of a piece; their number."""
+    ids, at, owner = windows(ids, lens)
+    at = np.random.default_rng(len(at)).permutation(targets(at, owner, number, rounds))
+    for k in range(0, len(at), batch_size):
+        net.step(ids, at[k : k + batch_size], rate)
+    np.clip(net.flat, -MOST, MOST, out=net.flat)
+    return len(at)
 
 
-def _average(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("task")
-    weight = pdf["n"].to_numpy(np.float64)
-    total = np.zeros(len(pdf["part"].iloc[0]) // 4)
-    for part, w in zip(pdf["part"], weight, strict=True):
-        total += w * np.frombuffer(part, np.float32)
-    return pd.DataFrame({"k": [pdf["k"].iloc[0]], "task": [pdf["task"].iloc[0]], "n": [int(weight.sum())], "part": [(total / max(weight.sum(), 1)).astype(np.float32).tobytes()]})
-
-
-def train(docs: DataFrame, words: int = 2000, rounds: int = 2, rate: float = 4.0, batch_size: int = 256, counts: DataFrame | None = None) -> Network:
-    """Fit on all of `docs` (column text); `counts` is their stored word_counts."""
-    counts = stored(word_counts(docs), "word-counts") if counts is None else counts
-    top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(words).collect()]
-    rest = (counts.agg(F.sum("n")).first()[0] or 0) - sum(n for _, n in top)
-    vocab = Vocabulary(top, rest)
-    flat = Network(vocab).flat
-    salt = max(1, round(docs.rdd.getNumPartitions() ** 0.5))
-    for number in range(rounds):
-        cloud = docs.sparkSession.sparkContext.broadcast((vocab, flat))  # of a size that the parameters fix
-
-        def run(batches: Iterator[pa.RecordBatch], cloud=cloud, number=number) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
+# ---- training and scoring
 
-            task = TaskContext.get().partitionId()
-            vocab, start = cloud.value
-            net, done = Network(vocab, start), 0
-            for batch in slices(batches):
-                texts = batch.column("text").to_pylist()
-                for a, b in _runs(texts):
-                    ids, at, owner = _windows(texts[a:b], vocab)
-                    at = np.random.default_rng(task).permutation(_targets(at, owner, number, rounds))
-                    for k in range(0, len(at), batch_size):
-                        done += len(at[k : k + batch_size])
-                        net.step(ids, at[k : k + batch_size], rate / (1 + done / 100_000) ** 0.5)
-            if done:
-                parts = np.array_split(net.flat, PIECES)
-                yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([task] * PIECES, pa.int32()), pa.array([done] * PIECES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["k", "task", "n", "part"])
 
-        kind = "k int, task int, n long, part binary"
-        level = docs.mapInArrow(run, kind).groupBy("k", F.pmod("task", F.lit(salt))).applyInPandas(_average, kind)
-        found = {r["k"]: r["part"] for r in level.groupBy("k").applyInPandas(_average, kind).collect()}  # one model
-        if found:
-            flat = np.concatenate([np.frombuffer(found[k], np.float32) for k in range(PIECES)])
-    return Network(vocab, flat)
+def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("task")
+    total = sum(np.frombuffer(p, "<f8") for p in pdf["part"])
+    return pd.DataFrame({"k": [pdf["k"].iloc[0]], "task": [pdf["task"].iloc[0]], "n": [int(pdf["n"].sum())], "part": [total.tobytes()]})
 
 
-SCORED = "piece long, row int, doc_id long, n_words long, log_prob double, word string, rows binary"
-SCORES = "doc_id long, n_words long, log_prob double, mean_log_prob double"
+WEIGHTS = "k int, task int, n long, part binary"
 
 
-def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a piece, with what its rare words add."""
-    is_doc = pdf["row"].notna()
-    docs, words = pdf[is_doc].sort_values("row"), pdf[~is_doc].sort_values("word")
-    total = docs["log_prob"].to_numpy(np.float64)
-    if len(words):
-        at = [np.frombuffer(x, np.int32) for x in words["rows"]]
-        total = total + np.bincount(np.concatenate(at), np.repeat(words["log_prob"].to_numpy(np.float64), [len(x) for x in at]), minlength=len(docs))
-    n, total = docs["n_words"].to_numpy(np.int64), np.round(total, 4)
-    mean = pd.Series(np.round(total / np.maximum(n, 1), 6)).where(n > 0)
-    return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64").to_numpy(), "n_words": n, "log_prob": total, "mean_log_prob": mean.to_numpy()})
+def vocabulary(totals: DataFrame, words: int) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary of the stored `totals`, and the sum of the rare words' counts by place."""
+    top = [(r["word"], r["total"]) for r in totals.where(F.col("word").isNotNull()).orderBy(F.desc("total"), "word").limit(words).collect()]
+    sums = totals.where("piece < 0 AND word IS NULL").groupBy((F.col("bucket") % OTHERS).alias("place")).agg(F.sum("total").alias("n")).collect()  # OTHERS rows
+    place = np.zeros(OTHERS, np.int64)
+    for r in sums:
+        place[r["place"]] = r["n"]
+    for w, n in top:
+        place[place_of_word(w) % OTHERS] -= n
+    return Vocabulary(top, int(place.sum())), place
 
 
-def score(docs: DataFrame, net: Network, counts: DataFrame) -> DataFrame:
-    """doc_id, n_words, log_prob and mean_log_prob of every row of `docs` (doc_id, text); `counts` is the stored table that `net` was made with."""
-    spark = docs.sparkSession
-    cloud = spark.sparkContext.broadcast((net.vocab, net.flat))
+def train(pieces: DataFrame, vocab: Vocabulary, rounds: int = 2, rate: float = 0.25, batch_size: int = 8192) -> Network:
+    """Fit on all stored `pieces`."""
+    spark, flat = pieces.sparkSession, Network(vocab).flat
+    salt = max(1, round(pieces.count() ** 0.5))
+    for number in range(rounds):
+        cloud = spark.sparkContext.broadcast((vocab, flat))  # of a size that the parameters fix
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        def run(batches: Iterator[pa.RecordBatch], cloud=cloud, number=number) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
 
-        model, piece, row = Network(*cloud.value), TaskContext.get().partitionId() << 32, 0
-        held: dict[str, array] = {}
+            vocab, start = cloud.value
+            total, done = np.zeros(len(start)), 0
+            for batch in slices(batches, 1):
+                for r in batch.to_pylist():
+                    net = Network(vocab, start)
+                    n = train_piece(net, vocab.ids(words_of(r["words"]))[from_planes(r["ids"])], np.frombuffer(r["lens"], "<u4").astype(np.int64), number, rounds, rate, batch_size)
+                    total += n * net.flat.astype(np.float64)
+                    done += n
+            if done:
+                task = TaskContext.get().partitionId()
+                yield _batch(WEIGHTS, *[(k, task, done, p.astype("<f8").tobytes()) for k, p in enumerate(np.array_split(total, PARTS))])
 
-        def table(size: int, **columns) -> pa.RecordBatch:
-            kinds = {"piece": pa.int64(), "row": pa.int32(), "doc_id": pa.int64(), "n_words": pa.int64(), "log_prob": pa.float64(), "word": pa.string(), "rows": pa.binary()}
-            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in kinds.items()], names=list(kinds))
+        level = pieces.select("lens", "ids", "words").mapInArrow(run, WEIGHTS).groupBy("k", F.pmod("task", F.lit(salt))).applyInPandas(_add_up, WEIGHTS)
+        found = {r["k"]: (r["part"], r["n"]) for r in level.groupBy("k").applyInPandas(_add_up, WEIGHTS).collect()}  # one model
+        if found:
+            flat = (np.concatenate([np.frombuffer(found[k][0], "<f8") for k in range(PARTS)]) / found[0][1]).astype(np.float32)
+        cloud.unpersist()
+    return Network(vocab, flat)
 
-        def flush() -> pa.RecordBatch:
-            out = table(len(held), piece=[piece] * len(held), word=list(held), rows=[x.tobytes() for x in held.values()])
-            held.clear()
-            return out
 
-        for batch in slices(batches):
-            texts = batch.column("text").to_pylist()
-            n, total = [np.zeros(0)], [np.zeros(0)]
-            rare: list[list[str]] = []
-            for a, b in _runs(texts):
-                ids, at, owner = _windows(texts[a:b], model.vocab, rare)
-                logs = np.concatenate([model.log_probs(ids, at[k : k + 32_768]) for k in range(0, len(at), 32_768)] or [np.zeros(0)])
-                n.append(np.bincount(owner, minlength=b - a))
-                total.append(np.bincount(owner, logs.astype(np.float64), minlength=b - a))
-            for k, words in enumerate(rare, row):
-                for w in words:
-                    if w in held:
-                        held[w].append(k)
-                    else:
-                        held[w] = array("i", (k,))
-            size = len(texts)
-            yield table(size, piece=[piece] * size, row=range(row, row + size), doc_id=batch.column("doc_id"), n_words=np.concatenate(n).astype(np.int64), log_prob=np.concatenate(total))
-            row += size
-            if len(held) > HELD or row > 20_000:
-                yield flush()
-                piece, row = piece + 1, 0
-        if held:
-            yield flush()
-
-    rows = stored(docs.mapInArrow(run, SCORED), "scored")
-    place = lambda c: F.crc32(F.col(c).cast("binary")) % OTHERS
-    top = spark.createDataFrame([(w,) for w in net.vocab.place], "word string")
-    rest = counts.join(F.broadcast(top), "word", "left_anti")
-    sums = rest.groupBy(place("word").alias("place")).agg(F.sum("n").alias("all")).collect()  # OTHERS rows
-    sums = spark.createDataFrame([(r["place"], r["all"]) for r in sums], "place long, all long")
-    share = F.log(F.coalesce("n", F.lit(1)) / F.coalesce("all", F.lit(1)))
-    words = rows.where(F.col("word").isNotNull()).select("piece", "word", "rows").join(rest, "word", "left").withColumn("place", place("word"))
-    words = words.join(F.broadcast(sums), "place", "left").select("piece", "word", "rows", share.alias("log_prob"))
-    both = rows.where(F.col("row").isNotNull()).unionByName(words, allowMissingColumns=True)
-    return both.groupBy("piece").applyInPandas(_finish, SCORES)
-
-
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def score(pieces: DataFrame, totals: DataFrame, net: Network, place: np.ndarray) -> DataFrame:
+    """doc_id, n_words, log_prob and mean_log_prob of every document of the stored `pieces`; `place` is of `vocabulary`."""
+    cloud = pieces.sparkSession.sparkContext.broadcast((net.vocab, net.flat, place))
+
+    def run(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        vocab, flat, place = cloud.value
+        net, r = Network(vocab, flat), own.iloc[0]
+        words, lens = vocab.ids(words_of(r["words"])), np.frombuffer(r["lens"], "<u4").astype(np.int64)
+        count = np.zeros(len(words), np.int64)
+        for at, n in zip(answers["at"], answers["n"], strict=True):
+            count[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<i8")
+        rare = words <= OTHERS
+        share = np.zeros(len(words))
+        share[rare] = np.log(count[rare] / place[words[rare] - 1])
+        local = from_planes(r["ids"])
+        ids, at, owner = windows(words[local], lens)
+        logs = np.concatenate([net.log_probs(ids, at[k : k + 16_384]) for k in range(0, len(at), 16_384)] or [np.zeros(0)]).astype(np.float64) + share[local]
+        total = np.round(np.bincount(owner, logs, minlength=len(lens)), 4)
+        doc_id = pd.Series(np.frombuffer(r["doc_ids"], "<i8")).astype("Int64").mask(np.frombuffer(r["known"], np.uint8) == 0)
+        return pd.DataFrame({"doc_id": doc_id, "n_words": lens, "log_prob": total, "mean_log_prob": pd.Series(np.round(total / np.maximum(lens, 1), 6)).where(lens > 0)})
+
+    answers = totals.where("piece >= 0").select("piece", "at", "n")
+    return pieces.select("piece", "doc_ids", "known", "lens", "ids", "words").groupBy("piece").cogroup(answers.groupBy("piece")).applyInPandas(run, SCORES)
+
+
+def pseudo_likelihood(docs: DataFrame, words: int = 2000, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Train on `docs` and score them."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    counts = stored(word_counts(rows.select("text")), "word-counts")
-    return score(rows, train(rows.select("text"), counts=counts, **options), counts)
+    pieces = stored(pieces_of(rows), "lm-pieces")
+    totals = stored(word_totals(pieces, words), "lm-totals")
+    vocab, place = vocabulary(totals, words)
+    return score(pieces, totals, train(pieces, vocab, **options), place)

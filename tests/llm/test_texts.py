@@ -1,5 +1,7 @@
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -266,18 +268,110 @@ def test_pseudo_likelihood_empty(odd, odd_rows):
 
 
 def test_every_word_is_a_target_once():
-    vocab = pseudo_likelihood.Vocabulary([(w, 10) for w in "abcdef"], 5)
-    _, at, owner = pseudo_likelihood._windows(["a b c d e f g h i j k", "one", "", "l m", "n " * 40], vocab)
+    lens = np.array([11, 1, 0, 2, 40])
+    _, at, owner = pseudo_likelihood.windows(np.ones(54, np.int64), lens)
+    assert np.bincount(owner, minlength=5).tolist() == lens.tolist()
     for rounds in (1, 2, 3):
-        got = np.concatenate([pseudo_likelihood._targets(at, owner, k, rounds) for k in range(rounds)])
+        got = np.concatenate([pseudo_likelihood.targets(at, owner, k, rounds) for k in range(rounds)])
         assert sorted(got.tolist()) == at.tolist() and len(at) == 54
 
 
+def plain_log_prob(net, ids, at):
+    """log P of one word by its definition, in double precision."""
+    x = sum(net.tables[k][ids[at + s]].astype(float) for k, s in enumerate(pseudo_likelihood.SHIFTS))
+    h, y = np.tanh(x), ids[at]
+    z = net.classes.astype(float) @ h + net.class_bias
+    kind = net.vocab.kind[y]
+    out = z[kind] - z.max() - np.log(np.exp(z - z.max()).sum())
+    a, b = net.vocab.edges[kind], net.vocab.edges[kind + 1]
+    z = net.words[a:b].astype(float) @ h + net.word_bias[a:b]
+    return out + z[y - a] - z.max() - np.log(np.exp(z - z.max()).sum())
+
+
+def small_network(scale=0.3):
+    vocab = pseudo_likelihood.Vocabulary([(f"w{k}", 40 - k) for k in range(30)], 50)
+    net = pseudo_likelihood.Network(vocab)
+    net.flat[:] = np.random.default_rng(5).standard_normal(len(net.flat)) * scale
+    ids, at, _ = pseudo_likelihood.windows(np.random.default_rng(6).integers(1, vocab.size, 60), np.array([20, 39, 1]))
+    return net, ids, at
+
+
+@pytest.mark.parametrize("scale", [0.3, 8.0])
+def test_log_probs_are_those_of_the_definition(scale):
+    net, ids, at = small_network(scale)
+    np.clip(net.flat, -8, 8, out=net.flat)
+    got = net.log_probs(ids, at)
+    assert np.isfinite(got).all() and np.allclose(got, [plain_log_prob(net, ids, k) for k in at.tolist()], rtol=1e-4, atol=1e-4)
+
+
+def test_gradients_are_those_of_the_definition():
+    net, ids, at = small_network()
+    at = at[::3]
+    loss = lambda: -np.mean([plain_log_prob(net, ids, k) for k in at.tolist()])
+    for (row, _), (which, grad) in zip(net.rows, net.gradients(ids, at), strict=True):
+        full = np.zeros(row.shape)
+        full[which] = grad
+        for k in np.random.default_rng(7).choice(row.size, 12):
+            i, j = divmod(int(k), row.shape[1])
+            kept, ends = row[i, j], []
+            for step in (2e-3, -2e-3):
+                row[i, j] = kept + step
+                ends.append(loss())
+            row[i, j] = kept
+            assert full[i, j] == pytest.approx((ends[0] - ends[1]) / 4e-3, abs=2e-4)
+    before = loss()
+    for _ in range(30):
+        net.step(ids, at, 0.1)
+    assert loss() < before - 0.5
+
+
+def test_scores_are_sums_over_words_and_counts(spark):
+    """The whole query against plain counts and the definition of every word's probability."""
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(["tide", "wind", "net", "haul", f"rare{rnd.randrange(30)}"]) for _ in range(rnd.randint(0, 25))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = pseudo_likelihood.stored(pseudo_likelihood.pieces_of(df), "test-pieces")
+    totals = pseudo_likelihood.stored(pseudo_likelihood.word_totals(pieces, 3), "test-totals")
+    vocab, place = pseudo_likelihood.vocabulary(totals, 3)
+    count = Counter(w for t in texts for w in t.split())
+    top = sorted(count, key=lambda w: (-count[w], w))[:3]
+    assert list(vocab.place) == top
+    net = pseudo_likelihood.train(pieces, vocab)
+    of = Counter()
+    for w, n in count.items():
+        of[pseudo_likelihood.place_of_word(w) % pseudo_likelihood.OTHERS] += n * (w not in top)
+    got = {r["doc_id"]: r for r in pseudo_likelihood.score(pieces, totals, net, place).collect()}
+    for d, t in enumerate(texts):
+        words = t.split()
+        ids = np.array([0, 0, *vocab.ids(words), 0, 0])
+        want = sum(plain_log_prob(net, ids, k + 2) + (0 if w in top else np.log(count[w] / of[pseudo_likelihood.place_of_word(w) % pseudo_likelihood.OTHERS])) for k, w in enumerate(words))
+        assert got[d]["n_words"] == len(words) and got[d]["log_prob"] == pytest.approx(want, abs=2e-3)
+
+
+def test_scores_do_not_depend_on_how_the_input_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "SHARD_CHARS", 20_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 150")
+    one, many = ({r["doc_id"]: r["log_prob"] for r in pseudo_likelihood.pseudo_likelihood(d, words=200).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one.keys() == many.keys() and all(abs(one[d] - many[d]) < 1e-2 for d in one)
+
+
+def test_pieces_hold_every_text(spark, odd, odd_rows):
+    rows = pseudo_likelihood.pieces_of(odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 50).collect()
+    got = []
+    for r in rows:
+        words, local = pseudo_likelihood.words_of(r["words"]), pseudo_likelihood.from_planes(r["ids"])
+        ends = np.cumsum(np.frombuffer(r["lens"], "<u4").astype(int))
+        for d, known, a, b in zip(np.frombuffer(r["doc_ids"], "<i8"), np.frombuffer(r["known"], np.uint8), [0, *ends], ends, strict=False):
+            got.append((int(d) if known else None, [words[k] for k in local[a:b]]))
+    want = [(r[0], re.findall(r"\w+|[^\w\s]", (r[1] or "").lower())) for r in odd_rows]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(rows) > 3
+
+
 def test_rare_words_are_told_apart(spark):
     place = {}
     for k in range(2000):  # two rare words of one place
         w = f"rare{k}"
-        place.setdefault(pseudo_likelihood.zlib.crc32(w.encode()) % pseudo_likelihood.OTHERS, []).append(w)
+        place.setdefault(zlib.crc32(w.encode()) % pseudo_likelihood.OTHERS, []).append(w)
     often, once, third = place[3][:3]
     rows = [(k, "the cat " * 8 + often) for k in range(6)] + [(10, "the cat " * 8 + once), (11, "the cat " * 8 + third), (11, "the cat " * 8 + third), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
