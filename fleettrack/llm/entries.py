@@ -33,18 +33,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_boilerplate
 
-    return _dedup_rows(drop_boilerplate(table(spark, sf_dir, "documents")))
-
-
-def op3_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the share of characters from which op3_line_dedup and its SQL leave a document whole."""
-    from .line_dedup import drop_boilerplate
-
-    return _dedup_rows(drop_boilerplate(table(spark, sf_dir, "documents"), most_share=None))
-
-
-def _dedup_rows(out: DataFrame) -> DataFrame:
-    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    out = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_boilerplate", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op4_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixture_packing": op1_mixture_packing,
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
-    "op3_line_dedup_whole": op3_line_dedup_whole,
     "op4_transcripts": op4_transcripts,
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
@@ -108,14 +97,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    "op3_line_dedup": """
+    "op3_line_dedup": r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, text, source, string_split(text, chr(10)) AS a FROM documents),
 l AS (SELECT source, unnest(a) AS line FROM t),
-b AS (SELECT trim(line, ' ') AS line FROM l WHERE length(trim(line, ' ')) >= 30 GROUP BY 1 HAVING count(DISTINCT source) >= 5),
+b AS (SELECT trim(line, ' ') AS line FROM l WHERE length(trim(line, ' ')) >= 10 GROUP BY 1 HAVING count(DISTINCT source) >= 5),
 p AS (SELECT r, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM t),
 k AS (SELECT p.r, count(*) AS kept, string_agg(p.line, chr(10) ORDER BY i) AS s FROM p LEFT JOIN b ON b.line = trim(p.line, ' ') WHERE b.line IS NULL GROUP BY 1),
-o AS (SELECT t.*, CASE WHEN length(s) >= (1 - CAST(0.4 AS DOUBLE)) * length(text) AND kept < len(a) THEN s END AS s, kept FROM t LEFT JOIN k USING (r))
-SELECT doc_id, CAST(coalesce(len(a), 0) AS BIGINT) AS n_lines, CAST(CASE WHEN s IS NULL THEN 0 ELSE len(a) - kept END AS BIGINT) AS n_removed,
+o AS (SELECT t.*, len(a) - coalesce(kept, 0) AS bad, CASE WHEN regexp_matches(s, '[^ \t\n\v\f\r]') AND kept < len(a) THEN s END AS s FROM t LEFT JOIN k USING (r))
+SELECT doc_id, CAST(coalesce(len(a), 0) AS BIGINT) AS n_lines, CAST(coalesce(bad, 0) AS BIGINT) AS n_boilerplate, CAST(CASE WHEN s IS NULL THEN 0 ELSE bad END AS BIGINT) AS n_removed,
   CAST(length(coalesce(s, text)) AS BIGINT) AS n_kept_chars, md5(coalesce(s, text)) AS text_md5 FROM o""",
     "op8_ngram_jaccard": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),

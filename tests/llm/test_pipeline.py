@@ -37,7 +37,7 @@ def test_toxicity_stage(spark, tables):
 
 
 def test_line_stage(tables):
-    want = [(d, t) for d, _, _, t in plain_dedup(rows(tables[1]))]
+    want = [(d, t) for d, _, _, _, t in plain_dedup(rows(tables[1]))]
     assert sorted(((d, t) for d, t, _ in rows(tables[2])), key=str) == sorted(want, key=str)
     assert tables[2].where("n_chars <> length(text)").count() == 0
 

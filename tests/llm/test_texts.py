@@ -64,7 +64,7 @@ def test_toxicity_without_labels(odd, spark):
 # ---- line dedup
 
 
-def plain_dedup(rows, sites=5, chars=30, share=0.4):
+def plain_dedup(rows, sites=5, chars=10):
     seen = {}
     for _, text, source in rows:
         for line in (text or "").split("\n") if text is not None else []:
@@ -74,49 +74,46 @@ def plain_dedup(rows, sites=5, chars=30, share=0.4):
     for d, text, _ in rows:
         lines = text.split("\n") if text is not None else []
         kept = [x for x in lines if x.strip(" ") not in bad]
-        ok = kept and len(kept) < len(lines) and len("\n".join(kept)) >= (1 - share) * len(text)
-        out.append((d, len(lines), len(lines) - len(kept) if ok else 0, "\n".join(kept) if ok else text))
+        ok = len(kept) < len(lines) and "\n".join(kept).strip(" \t\n\x0b\f\r") != ""
+        out.append((d, len(lines), len(lines) - len(kept), len(lines) - len(kept) if ok else 0, "\n".join(kept) if ok else text))
     return sorted(out, key=str)
 
 
 def test_line_dedup(spark):
     rnd = random.Random(2)
-    common = [f"this line of a page is shared by {k} sites and more" for k in (4, 5, 6, 9)]
+    common = [f"this line of a page is shared by {k} sites and more" for k in (4, 5, 6, 9)] + ["ten signs.", "ten sign."]
     rows = []
-    for k in range(200):
+    for k in range(300):
         lines = [f"own words number {k} {j} " + "x" * rnd.randint(0, 60) for j in range(rnd.randint(1, 6))]
-        if rnd.random() < 0.5:
-            c = rnd.randrange(4)
-            rows.append((k, "\n".join([*lines, common[c]]), f"s{rnd.randrange((4, 5, 6, 9)[c])}"))
+        if rnd.random() < 0.6:
+            c = rnd.randrange(6)
+            rows.append((k, "\n".join([*lines, common[c]]), f"s{rnd.randrange((4, 5, 6, 9, 9, 9)[c])}"))
         else:
             rows.append((k, "\n".join(lines), f"s{k % 9}"))
-    rows += [(300 + k, f"{common[3]}\n{common[2]}", f"s{k}") for k in range(9)]  # copies: left whole
-    rows += [(400, None, "s1"), (401, "", None), (None, common[3] + "\n" + "own text of this one " * 9, None), (7, "again " * 30 + "\n" + common[3], "s1"), (402, "\n\n", "s1")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("site", "h", "doc", "line", "a", "b")})
+    rows += [(400 + k, f"{common[3]}\n{common[2]}", f"s{k}") for k in range(9)]  # copies: left whole, and marked
+    rows += [(500, None, "s1"), (501, "", None), (None, common[3] + "\n" + "own text of this one " * 9, None), (7, "again " * 30 + "\n" + common[3], "s1"), (502, "\n\n", "s1"), (None, None, "s1")]
+    rows += [(503, f"a\n{common[3]}\n{common[2]}\n{common[3]}", "s2"), (504, f" \x0b\n{common[3]}\n\t", "s2")]  # mostly boilerplate; nothing but blanks beside it
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("site", "h", "doc", "line", "a", "b", "salt")})
     out = line_dedup.drop_boilerplate(df)
-    assert sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in out.collect()), key=str) == plain_dedup(rows)
-    assert out.where("n_removed > 0").count() > 20 and out.columns[:3] == ["doc_id", "text", "source"]
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_boilerplate"], r["n_removed"], r["text"]) for r in out.collect()), key=str) == plain_dedup(rows)
+    assert out.where("n_removed > 0").count() > 20 and out.columns == [*df.columns, "n_lines", "n_boilerplate", "n_removed"]
+    assert {r["n_boilerplate"] for r in out.where("doc_id BETWEEN 400 AND 408").collect()} == {2}
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
-def test_line_dedup_whatever_the_share(spark):
-    shared = "this line of a page is shared by all of its sites and is long"
-    rows = [(k, f"own {k}\n{shared}", f"s{k}") for k in range(6)] + [(10, shared, "s1"), (11, f" \n{shared}\n\t", "s2"), (12, None, "s3"), (13, "", "s4")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in line_dedup.drop_boilerplate(df, most_share=None).collect()}
-    assert got == {k: (1, f"own {k}") for k in range(6)} | {10: (0, rows[6][1]), 11: (0, rows[7][1]), 12: (0, None), 13: (0, "")}
+def test_line_dedup_keeps_own_columns(spark):
+    rows = [(k, f"own {k}\nthis line of a page is shared by many", f"s{k}", 99, "x") for k in range(6)]
+    out = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int, n_removed string"))
+    assert out.columns == ["doc_id", "text", "source", "n_lines", "n_removed", "n_lines_", "n_boilerplate", "n_removed_"]
+    assert {tuple(r)[3:] for r in out.collect()} == {(99, "x", 2, 1, 1)} and {r["text"] for r in out.collect()} == {f"own {k}" for k in range(6)}
 
 
 def test_line_dedup_leaves_no_boilerplate_beside_own_text(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    lines = line_dedup.line_table(docs, 30)
-    bad = {(r["a"], r["b"]) for r in line_dedup.boilerplate(lines, 5).collect()}
-    out = line_dedup.drop_boilerplate(docs, most_share=None)
-    left = line_dedup.line_table(out, 30)
-    held = {r["doc"] for r in left.collect() if (r["a"], r["b"]) in bad}
-    assert bad
-    for r in out.where(F.col("doc_id").isin(sorted(held))).collect():
-        assert r["n_removed"] == 0 and all(not x.strip() or len(x.strip(" ")) >= 30 for x in r["text"].split("\n"))
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    out = line_dedup.drop_boilerplate(docs).collect()
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_boilerplate"], r["n_removed"], r["text"]) for r in out), key=str) == plain_dedup(rows)
+    assert sum(r["n_removed"] > 0 for r in out) > 20
 
 
 # ---- transcripts
