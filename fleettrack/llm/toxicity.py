@@ -1,14 +1,19 @@
 """Severity of toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade >= k) = sigmoid(w.x - theta_k), with one weight vector for all ordered thresholds theta_1 < theta_2 < ...; the expected severity is
-the sum of these probabilities over k. Features are the distinct words of a text and their leading 4, 5 and 6 letters, hashed.
-The model is fitted in numpy on at most `max_rows` labelled rows (those with the smallest hash of their id).
-
-Labels say toxic or not. Grades above 0 are made from them: toxic texts are ordered by how many telling features
-(seen in toxic texts nearly alone) they hold, and cut into `levels` parts of about the same size.
-
-Contracts: null and empty texts get severity of a text without features; rows with a null label are not used for fitting; a label table that
-is empty or holds one class gives severity 0 for all; a label that repeats counts by its largest value; extra columns are carried.
+the sum of these probabilities over k. Features are the distinct words of a text and their leading 4, 5 and 6 letters, hashed; features
+that speak for toxicity and such that speak against it are chosen by how far they are from independent of it.
+The model is fitted in numpy on at most `max_rows` labelled documents (those with the smallest hash of their id; all of them count, and
+each of n > 2 copies by 2/n: copies are known by their smallest 5-word shingle hash). Counts of features are summed by tasks; the driver gets
+numbers by feature bucket (2^20 at most) and, for each of these documents, its chosen features.
+
+Labels above 1 are grades themselves. Labels of 0 and 1 say toxic or not; grades above 0 are then made from them: toxic texts are ordered by how many
+features they hold that are seen in toxic texts nearly alone, and cut into `levels` parts of about the same size. These features are found
+in the half of the documents (by hash of id) to which the text does not belong.
+
+Contracts: null and empty texts get severity of a text without features; rows with a null label or id are not used for fitting; a label table that
+is empty or holds one class gives severity 0 for all; a label that repeats counts by its largest value, and of documents that repeat an id one
+is used, that whose text has the smallest hash; extra columns of any name are carried by keep_harmless and ignored by score.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import slices, stored, text_or_empty
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
@@ -47,42 +52,47 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(np.asarray(score)[:, None] - t[None, :], -40, 40)))
 
 
-def distinct_rows(rows: list[np.ndarray]) -> list[int]:
-    """Numbers of the rows but for near copies: of rows with the same three rarest features (of those in two rows or more) two stay."""
-    often = np.bincount(np.concatenate(rows), minlength=BUCKETS) if rows else np.zeros(BUCKETS, np.int64)
-    seen: dict[tuple, int] = {}
+def copy_weights(keys: np.ndarray) -> np.ndarray:
+    """2/n for each of n > 2 rows of one key, else 1. A key of -1 has no copies."""
+    _, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return np.where(keys == -1, 1.0, np.minimum(1.0, 2.0 / n[inverse]))
+
+
+def telling(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Which features are seen in toxic texts nearly alone, from their (weighted) numbers of toxic and other texts."""
+    return (bad >= 3) & (bad >= 20 * good)
+
+
+def grades(toxic: np.ndarray, hits: np.ndarray, levels: int) -> np.ndarray:
+    """0 for texts that are not toxic; toxic ones by the number of their telling features. Labels above 1 are grades already."""
+    out = toxic.astype(np.int64)
+    if out.max(initial=0) == 1:
+        cuts = np.unique(np.quantile(hits[toxic == 1], np.arange(1, levels) / levels))
+        out[toxic == 1] = 1 + np.searchsorted(cuts, hits[toxic == 1], "left")
+    return np.unique(out, return_inverse=True)[1] if len(out) and out.min() == 0 else out  # without gaps
+
+
+def choose(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float, most: int, against: float = 0.25) -> np.ndarray:
+    """The features furthest from independent of toxicity: up to `most`, of which a share of `against` speaks against it."""
+    both = bad + good
+    share = both * n_bad / max(n_bad + n_good, 1e-9)
+    chi = np.where(both >= 5, (bad - share) ** 2 / np.maximum(share, 1e-9) + (good - both + share) ** 2 / np.maximum(both - share, 1e-9), 0)
     out = []
-    for k, r in enumerate(rows):
-        shared = r[often[r] >= 2]
-        key = tuple(shared[np.lexsort((shared, often[shared]))[:3]].tolist())
-        seen[key] = seen.get(key, 0) + 1
-        if seen[key] <= 2 or len(key) < 3:
-            out.append(k)
-    return out
-
-
-def grades(rows: list[np.ndarray], toxic: np.ndarray, levels: int) -> np.ndarray:
-    """0 for texts that are not toxic; toxic ones by the number of their telling features."""
-    bad, good = (np.bincount(np.concatenate([rows[k] for k in np.flatnonzero(toxic == y)]), minlength=BUCKETS) for y in (1, 0))
-    telling = (bad >= 5) & (bad >= 20 * good)
-    hits = np.array([int(telling[r].sum()) for r in rows])
-    out = np.zeros(len(rows), np.int64)
-    cuts = np.quantile(hits[toxic == 1], np.arange(1, levels) / levels)
-    out[toxic == 1] = 1 + np.searchsorted(np.unique(cuts), hits[toxic == 1], "left")
-    return out
-
-
-def fit(rows: list[np.ndarray], grade: np.ndarray, most_features: int = 2048, l2: float = 5e-5, steps: int = 400, rate: float = 0.1) -> Ordinal:
-    """Proportional-odds model by Adam on the log-likelihood; features by how far they are from independent of grade > 0."""
+    for side, n in ((bad * n_good > 3 * good * n_bad, most - int(against * most)), (good > both - share, int(against * most))):
+        own = np.where(side & (chi > 10), chi, 0)
+        found = np.argsort(-own, kind="stable")[:n]
+        out.append(found[own[found] > 0])
+    return np.sort(np.concatenate(out))
+
+
+def fit(rows: list[np.ndarray], grade: np.ndarray, chosen: np.ndarray | None = None, weight: np.ndarray | None = None, most_features: int = 2048, l2: float = 5e-5, steps: int = 400, rate: float = 0.1) -> Ordinal:
+    """Proportional-odds model by Adam on the weighted log-likelihood, on the features `chosen`."""
     if len(rows) == 0 or grade.min() == grade.max():
         return Ordinal()
-    bad, good = (np.bincount(np.concatenate([rows[k] for k in np.flatnonzero((grade > 0) == y)]), minlength=BUCKETS) for y in (True, False))
-    n_bad, n_good = int((grade > 0).sum()), int((grade == 0).sum())
-    both = bad + good
-    share = both * n_bad / (n_bad + n_good)
-    chi = np.where((bad >= 5) & (bad > 3 * share), (bad - share) ** 2 / np.maximum(share, 1e-9), 0)
-    chosen = np.argsort(-chi, kind="stable")[:most_features]
-    chosen = np.sort(chosen[chi[chosen] > 0])
+    weight = np.ones(len(rows)) if weight is None else weight
+    if chosen is None:
+        bad, good = (np.bincount(np.concatenate([rows[k] for k in np.flatnonzero((grade > 0) == y)]), minlength=BUCKETS) for y in (True, False))
+        chosen = choose(bad, good, int((grade > 0).sum()), int((grade == 0).sum()), most_features)
     if not len(chosen):
         return Ordinal()
     place = np.full(BUCKETS, -1)
@@ -95,7 +105,8 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, most_features: int = 2048, l2
     params = [w, first, gaps]
     m, v = ([np.zeros_like(p) for p in params] for _ in range(2))
     eye = (grade[:, None] == np.arange(top + 1)[None, :]).astype(float)
-    class_weight = (1 / np.maximum(eye.sum(0), 1)) @ eye.T
+    class_weight = (1 / np.maximum(weight @ eye, 1e-9)) @ eye.T
+    class_weight = class_weight * weight
     class_weight *= len(rows) / class_weight.sum()
     for step in range(1, steps + 1):
         theta = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
@@ -116,10 +127,20 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, most_features: int = 2048, l2
     return Ordinal(dict(zip(chosen.tolist(), w.tolist(), strict=True)), theta.tolist())
 
 
+def _copy_key(words: list[str]) -> int:
+    """The smallest hash of five words in a row; -1 for texts with fewer."""
+    return min((zlib.crc32(" ".join(words[k : k + 5]).encode("utf-8", "replace")) for k in range(len(words) - 4)), default=-1)
+
+
+ROWS = "toxic long, half int, key long, features binary"
+COUNTS = "half int, feature long, bad double, good double"
+CHOSEN = "toxic long, key long, hits long, features binary"
+
+
 def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache: dict[str, set[int]] = {}
     for batch in slices(batches):
-        out = []
+        out, keys = [], []
         for text in batch.column("text").to_pylist():
             found: set[int] = set()
             for word in set(WORD.findall(text.lower())):
@@ -128,24 +149,60 @@ def _featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     got = cache[word] = features_of(word)
                 found |= got
             out.append(np.array(sorted(found), "<u4").tobytes())
+            keys.append(_copy_key(text.lower().split()))
             if len(cache) > 300_000:
                 cache.clear()
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(out, pa.binary())], names=["toxic", "features"])
-
-
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, levels: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
-    """Fit on at most `max_rows` labelled rows of `docs`."""
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    ids = marks.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.join(ids, F.col(id_col) == F.col("_id")).select("toxic", text_or_empty(text_col).alias("text"), F.xxhash64(id_col).alias("_k"), F.col(id_col).alias("_i"))
-    rows = rows.orderBy("_k", "_i").limit(2 * max_rows).select("toxic", "text").mapInArrow(_featurised, "toxic int, features binary").collect()
-    sets = [np.frombuffer(r["features"], "<u4") for r in rows]
-    toxic = np.array([int(r["toxic"] > 0) for r in rows], np.int64)
-    kept = distinct_rows(sets)
-    sets, toxic = [sets[k] for k in kept], toxic[kept]
-    if not len(toxic) or toxic.min() == toxic.max():
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("half"), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["toxic", "half", "key", "features"])
+
+
+def _counts(feats: DataFrame, weight: dict[int, float]) -> DataFrame:
+    """Weighted numbers of toxic and other rows by half and feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2, BUCKETS))
+        for batch in batches:
+            for toxic, half, key, raw in zip(*(batch.column(c).to_pylist() for c in ("toxic", "half", "key", "features")), strict=True):
+                total[half, int(toxic > 0)][np.frombuffer(raw, "<u4")] += weight[key]
+        half, feature = np.nonzero(total.sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(half, pa.int32()), pa.array(feature), pa.array(total[half, 1, feature]), pa.array(total[half, 0, feature])], names=["half", "feature", "bad", "good"])
+
+    return feats.mapInArrow(run, COUNTS).groupBy("half", "feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, levels: int = 3, most_features: int = 2048, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
+    """Fit on at most `max_rows` labelled documents of `docs`."""
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("toxic")).where("toxic IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    ids = marks.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(ids), "id")  # max_rows rows
+    texts = texts.groupBy("id").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    half = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int")
+    feats = stored(texts.select("toxic", half.alias("half"), "text").mapInArrow(_featurised, ROWS), "toxicity-features")
+    seen = feats.select("toxic", "key").collect()  # max_rows rows of two numbers
+    toxic = np.array([r["toxic"] > 0 for r in seen], bool)
+    if not len(seen) or toxic.all() or not toxic.any():
         return Ordinal()
-    return fit(sets, grades(sets, toxic, levels))
+    keys = np.array([r["key"] for r in seen], np.int64)
+    weights = copy_weights(keys)
+    by_key = dict(zip(keys.tolist(), weights.tolist(), strict=True))
+    table = _counts(feats, by_key).toArrow()  # two rows for each bucket at most
+    count = np.zeros((2, 2, BUCKETS))
+    for c, column in ((1, "bad"), (0, "good")):
+        count[table["half"].to_numpy(), c, table["feature"].to_numpy()] = table[column].to_numpy()
+    tell = np.stack([telling(*count[1 - h, ::-1]) for h in (0, 1)])  # of the other half
+    chosen = choose(*count.sum(0)[::-1], weights[toxic].sum(), weights[~toxic].sum(), most_features)
+    wanted = np.zeros(BUCKETS, bool)
+    wanted[chosen] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x, "<u4") for x in batch.column("features").to_pylist()]
+            hits = [int(tell[h][x].sum()) for h, x in zip(batch.column("half").to_pylist(), own, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("key"), pa.array(hits, pa.int64()), pa.array([x[wanted[x]].tobytes() for x in own], pa.binary())], names=["toxic", "key", "hits", "features"])
+
+    rows = feats.mapInArrow(run, CHOSEN).orderBy("key", "toxic", "features").collect()  # max_rows rows of most_features numbers at most
+    label, hits = np.array([r["toxic"] for r in rows], np.int64), np.array([r["hits"] for r in rows], np.int64)
+    weight = np.array([by_key[r["key"]] for r in rows])
+    return fit([np.frombuffer(r["features"], "<u4") for r in rows], grades(np.maximum(label, 0), hits, levels), chosen, weight)
 
 
 class Scorer:

@@ -54,6 +54,54 @@ def test_gradient_of_the_ordinal_model():
     assert [model.weights[k] for k in sorted(model.weights)] == sorted(model.weights.values()) and np.all(np.diff(model.thresholds) > 0)
 
 
+def test_fit_reaches_the_best_likelihood_there_is():
+    """Against all models of one feature on a grid."""
+    rng = np.random.default_rng(3)
+    has = rng.random(300) < 0.5
+    grade = (np.where(has, 1.4, -0.2) + rng.logistic(size=300) > np.array([[0.3], [1.9]])).sum(0)
+    rows = [np.array([7], np.uint32) if h else np.empty(0, np.uint32) for h in has]
+    weight = np.where(np.arange(300) % 5 == 0, 0.5, 1.0)
+    of_class = np.array([1 / weight[grade == g].sum() for g in range(3)])
+
+    def loss(w, t1, t2):
+        p = 1 / (1 + np.exp(-(w * has[:, None] - np.array([t1, t2]))))
+        cum = np.concatenate([np.ones((300, 1)), p, np.zeros((300, 1))], 1)
+        return -(weight * of_class[grade] * np.log(cum[np.arange(300), grade] - cum[np.arange(300), grade + 1])).sum()
+
+    model = toxicity.fit(rows, grade, np.array([7]), weight, l2=0)
+    grid = min(loss(w, t, t + g) for w in np.arange(0, 3, 0.1) for t in np.arange(-1, 2, 0.1) for g in np.arange(0.1, 3, 0.1))
+    assert loss(model.weights[7], *model.thresholds) <= grid + 1e-3
+
+
+def test_copies_weigh_less_and_none_goes():
+    assert toxicity.copy_weights(np.array([5, 5, 5, 5, 6, -1, -1, -1, 7, 7])).tolist() == [0.5] * 4 + [1, 1, 1, 1, 1, 1]
+
+
+def test_grades():
+    assert toxicity.grades(np.array([0, 1, 1, 1, 0]), np.array([9, 1, 5, 9, 0]), 3).tolist() == [0, 1, 2, 3, 0]
+    assert toxicity.grades(np.array([0, 3, 1, 5]), np.zeros(4), 3).tolist() == [0, 2, 1, 3]  # labels that are grades
+
+
+def test_features_speak_for_and_against():
+    rows = [np.array([1] if k % 10 == 0 else [2], np.uint32) for k in range(500)]
+    model = toxicity.fit(rows, np.array([int(k % 10 == 0) for k in range(500)]))
+    assert model.weights[1] > 0 > model.weights[2]
+
+
+def test_toxicity_with_clashing_columns_and_repeated_ids(spark):
+    rows = toxic_rows()
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(3, "word1 word2")] * 40 + [(None, "vilestem")], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 1)], "doc_id long, toxic int")
+    plain = toxicity.train(docs, labels)
+    names = ("toxic", "id", "_id", "half", "key", "features", "severity", "feature")
+    clash = docs.withColumns({c: F.lit("x") for c in names})
+    model = toxicity.train(clash, labels.withColumns({c: F.lit(9) for c in ("text", "half")}))
+    assert model == plain
+    kept = toxicity.keep_harmless(clash, model)
+    assert kept.columns == clash.columns and {tuple(r)[2:] for r in kept.collect()} == {("x",) * len(names)}
+    assert toxicity.score(clash, model).count() == docs.count()
+
+
 def test_toxicity_without_labels(odd, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     out = toxicity.score(odd, toxicity.train(odd, labels))
