@@ -38,12 +38,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import stored
-    from .transcripts import learn, lines_of, recover, spoken_text
+    """The table has clean turns, which are written as raw transcripts first. Conversations that are held out are parsed only, never learned from."""
+    from .transcripts import held_out, learn, recover, spoken_text, transcripts_of
 
-    lines = stored(lines_of(table(spark, sf_dir, "conversations"), spoken_text()), "transcript-lines")
-    turns = recover(lines, learn(lines))
-    return turns.select(F.col("conv").alias("conv_id"), "turn_no", F.col("first_turn").alias("turn"), "role", "n_lines", "rendered")
+    rows = transcripts_of(table(spark, sf_dir, "conversations"), spoken_text())
+    turns = recover(rows, learn(rows.where(~held_out("conv"))))
+    return turns.select(F.col("conv").alias("conv_id"), "turn_no", F.col("first_turn").alias("turn"), "role", "n_lines", "rendered", held_out("conv").alias("held_out"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,41 +167,95 @@ def test_line_dedup_leaves_no_boilerplate_beside_own_text(spark):
 # ---- transcripts
 
 
-def test_transcripts(spark):
-    rnd = random.Random(5)
+def talk(n, seed=5):
+    rnd = random.Random(seed)
     rows = []
-    for c in range(120):
+    for c in range(n):
         roles = (["system"] if c % 4 == 0 else []) + ["user", "assistant"] * rnd.randint(1, 4)
-        rows += [(c, t, role, "\n".join(f"some words {rnd.random()} " * rnd.randint(1, 4) for _ in range(1 if role == "user" else 3))) for t, role in enumerate(roles)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    lines = transcripts.lines_of(df, transcripts.spoken_text())
-    got = transcripts.recover(lines, transcripts.learn(lines)).collect()
+        rows += [(c, t, role, "\n".join(rnd.choice(["", f"some words {rnd.random()} "]) * rnd.randint(1, 4) for _ in range(1 if role == "user" else 3))) for t, role in enumerate(roles)]
+    return rows
+
+
+TALK = "conv_id long, turn long, role string, text string"
+
+
+def test_transcripts(spark):
+    rows = talk(160)
+    lines = transcripts.transcripts_of(spark.createDataFrame(rows, TALK), transcripts.spoken_text())
+    got = transcripts.recover(lines, transcripts.learn(lines.where("conv < 40"))).where("conv >= 40").collect()
+    rows = [r for r in rows if r[0] >= 40]
     truth = {(c, t): role for c, t, role, _ in rows}
     right = sum(truth.get((r["conv"], r["first_turn"])) == r["role"] for r in got)
-    assert right / len(rows) > 0.95 and abs(len(got) - len(rows)) < 0.05 * len(rows)
+    assert right / len(rows) > 0.93 and abs(len(got) - len(rows)) < 0.07 * len(rows)
     one = next(r for r in got if r["role"] == "user")
     assert one["rendered"].startswith("<|user|>\n") and one["rendered"].endswith("<|end|>\n") and not one["text"].startswith(("User", "Human", "["))
 
 
-def test_blocks_decode_as_one(spark, monkeypatch):
-    rows = [(1, t, ["user", "assistant"][t % 2], f"words {t}" + ("\nmore" if t % 3 else "")) for t in range(50)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    whole = transcripts.lines_of(df, transcripts.spoken_text())
+def test_transcript_query_scores_held_out_conversations(spark):
+    out = QUERIES["op4_transcripts"](spark, SF)
+    truth = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", F.col("role").alias("true_role"))
+    right = out.where("held_out").join(truth, ["conv_id", "turn"]).agg(F.avg((F.col("role") == F.col("true_role")).cast("double"))).first()[0]
+    assert right > 0.95 and out.where("held_out").count() > 0
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    s = transcripts.STATES
+    model = transcripts.Model(*(x / x.sum(-1, keepdims=True) for x in (rng.random(s), rng.random((s, s)), rng.random((transcripts.KINDS, s, 4)))))
+    size = np.array([4, 1, 3, 5, 2])
+    seen = rng.integers(0, 2, (15, transcripts.KINDS))
+    before, last = np.array([-1, -1, 3, 0, -1]), np.array([-1, 2, -1, 4, -1])
+    got = model.viterbi(seen, size, before, last)
+    score, ends = model.scores(seen), np.cumsum(size)
+    for k in range(5):
+        own = score[ends[k] - size[k] : ends[k]]
+
+        def value(path):
+            first = model.start[path[0]] if before[k] < 0 else model.move[before[k], path[0]]
+            return first + sum(model.move[a, b] for a, b in zip(path, path[1:], strict=False)) + sum(own[t, p] for t, p in enumerate(path))
+
+        paths = [p for p in product(range(s), repeat=int(size[k])) if last[k] < 0 or p[-1] == last[k]]
+        assert tuple(got[ends[k] - size[k] : ends[k]]) == max(paths, key=value)
+
+
+def test_blocks_decode_as_one(spark):
+    """Turns that go on over a block's end, and blank lines there."""
+    rnd = random.Random(6)
+    rows = [(c, t, ["user", "assistant"][t % 2], "\n".join(rnd.choice(["", "words", "more words?", "x" * 70]) for _ in range(rnd.randint(1, 4)))) for c in (1, 2) for t in range(50)]
+    df = spark.createDataFrame(rows, TALK)
+    whole = transcripts.transcripts_of(df, F.when(F.col("turn") % 5 == 0, transcripts.spoken_text()).otherwise(F.col("text")))
     model = transcripts.learn(whole)
-    want = transcripts.recover(whole, model).orderBy("turn_no").collect()
-    monkeypatch.setattr(transcripts, "BLOCK", 7)
-    cut = transcripts.lines_of(df, transcripts.spoken_text())
-    got = transcripts.recover(cut, model).orderBy("turn_no").collect()
-    assert [r["role"] for r in got] == [r["role"] for r in want] and [r["turn_no"] for r in got] == list(range(50))
+    key = lambda r: (r["conv"], r["turn_no"])
+    want = sorted((tuple(r) for r in transcripts.recover(whole, model).collect()), key=lambda r: r[:2])
+    assert len(want) < 90  # turns go on
+    for size in (1, 7):
+        cut = transcripts.transcripts_of(df, F.when(F.col("turn") % 5 == 0, transcripts.spoken_text()).otherwise(F.col("text")), block=size)
+        got = sorted(transcripts.recover(cut, model).collect(), key=key)
+        assert [tuple(r) for r in got] == want
+
+
+def test_turns_that_repeat_are_cut_but_not_mixed(spark):
+    rows = [(1, 0, "user", f"User: a{k}\nb{k}") for k in range(40)] + [(1, None, "user", f"User: c{k}\nd{k}") for k in range(30)] + [(2, 1, "user", "User: a1\na2"), (2, 1, "user", "User: b1\nb2")]
+    df = spark.createDataFrame(rows, TALK)
+    cut = transcripts.transcripts_of(df, F.col("text"), block=3)
+    assert cut.where("conv = 1").select("block", "sub").distinct().count() > 10
+    s = transcripts.STATES
+    model = transcripts.learn(transcripts.transcripts_of(spark.createDataFrame([(9, t, "user", f"User: a\nb\n{t}") for t in range(30)], TALK), F.col("text")))
+    got = transcripts.recover(cut, model).collect()
+    assert sorted((r["conv"], r["text"]) for r in got) == sorted((c, t.removeprefix("User: ")) for c, _, _, t in rows) and len(model.start) == s
 
 
 def test_odd_conversations(spark):
-    rows = [(None, 0, "user", "hi"), (None, None, None, None), (3, 1, "robot", "x"), (3, 1, "user", ""), (3, 1, "user", ""), (4, 0, "user", "w " * 20000)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("line", F.lit(1))
-    lines = transcripts.lines_of(df, transcripts.spoken_text())
+    rows = [(None, 0, "user", "hi"), (None, 0, "user", "hi"), (None, None, None, None), (3, 1, "robot", "x"), (3, 1, "user", ""), (3, 1, "user", ""), (4, 0, "user", "w " * 20000)]
+    df = spark.createDataFrame(rows, TALK).withColumns({c: F.lit(1) for c in ("line", "block", "sub", "h", "first", "part")})
+    lines = transcripts.transcripts_of(df, transcripts.spoken_text())
     out = transcripts.recover(lines, transcripts.learn(lines))
-    assert out.agg(F.sum("n_lines")).first()[0] == 6
+    assert out.agg(F.sum("n_lines")).first()[0] == 7 and out.where("conv IS NULL").count() == 3
+    assert {r["turn_no"] for r in out.where("conv IS NULL").collect()} == {0}
     assert transcripts.recover(lines.limit(0), transcripts.Model()).count() == 0
+    assert transcripts.recover(lines, transcripts.learn(lines.limit(0))).where("role <> 'user'").count() == 0
 
 
 # ---- language
