@@ -5,95 +5,9 @@ toxicity -> line dedup -> n-gram Jaccard join -> benchmark decontamination -> pa
 
 from __future__ import annotations
 
-import functools
+from fleettrack.llm.pipeline import STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from fleettrack.llm.common import delete, made_since, mark, stored, table
-
-_left: list[str] = []
-
-
-def stage(fn):
-    """A stage first deletes the tables that the stage before it made for itself, unless `docs` still reads them."""
-
-    @functools.wraps(fn)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = {f.rsplit("/", 2)[-2] for f in docs.inputFiles()} if _left else set()
-        delete(spark, [p for p in _left if p.rsplit("/", 1)[-1] not in read])
-        _left.clear()
-        number = mark()
-        out = fn(spark, docs, sf_dir)
-        _left.extend(made_since(number))
-        return out
-
-    return run_stage
-
-
-@stage
-def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more probably harmless than not."""
-    from fleettrack.llm.toxicity import keep_harmless, train
-
-    return keep_harmless(docs, train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-
-
-@stage
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many sites share; none goes."""
-    from fleettrack.llm.line_dedup import drop_boilerplate
-
-    out = drop_boilerplate(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
-
-
-@stage
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that with the smallest id. Documents without an id stay, and rows that repeat an id stay or go together."""
-    from fleettrack.llm.ngram_join import jaccard_components
-
-    keep = jaccard_components(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_anti").select(*docs.columns)
-
-
-@stage
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    from fleettrack.llm.decontamination import without_leaks
-
-    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
-
-
-@stage
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
-    import public_tokenizers
-
-    from fleettrack.llm.packing import pack_documents
-
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-
-
-STAGES = [
-    ("toxicity", toxicity),
-    ("line dedup", line_dedup),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", decontamination),
-    ("packing", packing),
-]
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
 #: Toxicity is a fitted model, and packing needs a tokenizer: no SQL has these rows; tests hold run() against a plain version.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`."""
-    docs, before = table(spark, sf_dir, "documents"), []
-    for name, step in STAGES[:-1]:
-        out = step(spark, docs, sf_dir)
-        number = mark()
-        docs = stored(out, f"stage-{name.replace(' ', '-')}")
-        delete(spark, before)
-        before = made_since(number)
-    return STAGES[-1][1](spark, docs, sf_dir)
