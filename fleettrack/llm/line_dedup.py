@@ -49,6 +49,7 @@ def _of(lines: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of `lines` whose hash is in `chosen` (distinct a, b). A common line's rows are dealt to many tasks."""
     salted = lines.withColumn("salt", F.pmod(F.col("doc"), F.lit(SALTS)).cast("int"))
     every = chosen.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    every = every.hint("merge")  # a broadcast would be chosen by the size before the salts multiply it
     return salted.join(every, ["a", "b", "salt"], "left_semi").drop("salt")
 
 
