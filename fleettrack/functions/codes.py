@@ -44,8 +44,8 @@ def mmsi_category(mmsi: Column) -> Column:
 
 
 def mmsi_flag(df: DataFrame, lookup: DataFrame, mmsi: str = "mmsi", mid: str = "MID", flag: str = "flag") -> DataFrame:
-    """Adds `flag` by the country digits: the first three of vessels, the third to fifth of child vessels. One row of `lookup` per MID counts."""
+    """Adds `flag` by the country digits: the first three of vessels, the third to fifth of child vessels, of numbers with nine digits. One row of `lookup` per MID counts."""
     x = F.col(mmsi).cast("string")
-    key = F.when(x.rlike("^[2-7]"), F.substring(x, 1, 3)).when(x.rlike("^98"), F.substring(x, 3, 3)).try_cast("int")
+    key = F.when(x.rlike(r"^[2-7][0-9]{8}\z"), F.substring(x, 1, 3)).when(x.rlike(r"^98[0-9]{7}\z"), F.substring(x, 3, 3)).try_cast("int")
     known = lookup.groupBy(F.col(mid).cast("int").alias("_mid")).agg(F.min(flag).alias(flag))
     return df.join(known, key == F.col("_mid"), "left").drop("_mid")

@@ -14,37 +14,57 @@ TRIP = ["VE_COU", "VE_REF", "FT_REF"]
 HOW = {1: "1 trip_rectangle_day", 2: "2 trip_rectangle", 3: "3 trip"}
 
 
-def _null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join on keys among which nulls match; b's copies of the keys go."""
-    other = b.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in b.columns])
-    cond = None
-    for k in keys:
-        part = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cond = part if cond is None else cond & part
-    out = a.join(other, cond, how)
-    return out.drop(*[f"_r_{k}" for k in keys]) if how not in ("left_semi", "left_anti") else out
+def _joined(a: DataFrame, b: DataFrame, same: dict[str, str], equal: dict[str, str], how: str = "left") -> DataFrame:
+    """Join by columns of `a` and `b` among which nulls match (`same`) or don't (`equal`); b's go."""
+    keys = {**same, **equal}
+    other = b.select(*[F.col(c).alias(f"_r_{c}") if c in keys.values() else F.col(c) for c in b.columns])
+    cond = F.lit(True)
+    for left, right in same.items():
+        cond &= F.col(left).eqNullSafe(F.col(f"_r_{right}"))
+    for left, right in equal.items():
+        cond &= F.col(left) == F.col(f"_r_{right}")
+    return a.join(other, cond, how).drop(*[f"_r_{k}" for k in keys.values()])
+
+
+BY_TRIP = {c: c for c in TRIP}
+
+
+def _fished(trails: DataFrame) -> DataFrame:
+    """The days and rectangles of each trip's fishing, with the number of pings (_c)."""
+    return trails.where("state = 1").groupBy(*TRIP, "ir", F.to_date("time").alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _steps(events: DataFrame, days: DataFrame) -> DataFrame:
+    then = days.select(*TRIP, "ir", "_d", F.lit(True).alias("_then"))
+    there = days.groupBy(*TRIP, "ir").agg(F.lit(True).alias("_there"))
+    ever = days.groupBy(*TRIP).agg(F.lit(True).alias("_ever"))
+    known = _joined(events, then, BY_TRIP, {"LE_RECT": "ir", "date": "_d"})
+    known = _joined(_joined(known, there, BY_TRIP, {"LE_RECT": "ir"}), ever, BY_TRIP, {})
+    step = F.when(F.col("_then"), 1).when(F.col("date").isNull() & F.col("_there"), 2).when(F.col("_ever"), 3).otherwise(9999)
+    return known.withColumn("step", step).drop("_then", "_there", "_ever")
 
 
 def event_steps(trails: DataFrame, events: DataFrame) -> DataFrame:
     """Events with `step`: 1 if a fishing ping of the trip has its day and rectangle; 2 if it has no date and one has its rectangle; 3 if the trip has fishing pings; else 9999."""
-    places = F.collect_set(F.struct(F.col("ir").alias("r"), F.to_date("time").alias("d")))
-    fished = trails.where("state = 1").groupBy(*TRIP).agg(places.alias("_places"))
-    known = _null_safe(events, fished, TRIP, "left")
-    there = F.exists("_places", lambda x: x.r == F.col("LE_RECT"))
-    then = F.exists("_places", lambda x: (x.r == F.col("LE_RECT")) & (x.d == F.col("date")))
-    step = F.when(then, 1).when(F.col("date").isNull() & there, 2).when(F.col("_places").isNotNull(), 3).otherwise(9999)
-    return known.withColumn("step", step).drop("_places")
-
-
-def _sums_by_trip(steps: DataFrame) -> DataFrame:
-    """One row for each trip: by rectangle the sums (kg, eu) of step 1 by day and of step 2, and the sum of step 3."""
-    rect, day = F.when(F.col("step") < 3, F.col("LE_RECT")), F.when(F.col("step") == 1, F.col("date"))
-    parts = steps.where("step < 9999").groupBy(*TRIP, "step", rect.alias("r"), day.alias("d")).agg(F.struct(sum0(F.col("LE_KG")).alias("kg"), sum0(F.col("LE_EURO")).alias("eu")).alias("s"))
-    of = lambda k: F.first(F.when(F.col("step") == k, F.col("s")), ignorenulls=True)
-    days = F.map_from_entries(F.collect_list(F.when(F.col("step") == 1, F.struct("d", "s"))))
-    rects = parts.groupBy(*TRIP, "r").agg(days.alias("days"), of(2).alias("any"), of(3).alias("s3"))
-    by_rect = F.map_from_entries(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", F.struct("days", "any")))))
-    return rects.groupBy(*TRIP).agg(by_rect.alias("_by_rect"), F.first("s3", ignorenulls=True).alias("_s3"))
+    return _steps(events, _fished(trails))
+
+
+def _shares(days: DataFrame, steps: DataFrame) -> DataFrame:
+    """For each trip, rectangle and day of fishing what one ping gets: _how, _wt, _kg, _eu. All that is summed and counted here has a row for each day and rectangle, not for each ping."""
+
+    def sums(step: int, *by: str) -> DataFrame:
+        return steps.where(F.col("step") == step).groupBy(*TRIP, *by).agg(sum0(F.col("LE_KG")).alias(f"_kg{step}"), sum0(F.col("LE_EURO")).alias(f"_eu{step}"))
+
+    t = _joined(days, sums(1, "LE_RECT", "date"), BY_TRIP, {"ir": "LE_RECT", "_d": "date"})
+    t = _joined(_joined(t, sums(2, "LE_RECT"), BY_TRIP, {"ir": "LE_RECT"}), sums(3), BY_TRIP, {})
+    how = F.when(F.col("_kg1").isNotNull(), 1).when(F.col("_kg2").isNotNull(), 2).otherwise(3)
+    t = t.withColumn("_step", how)
+    pings = lambda step, *by: F.sum(F.when(F.col("_step") == step, F.col("_c"))).over(Window.partitionBy(*TRIP, *by))
+    t = t.withColumn("_n3", pings(3)).withColumn("_n2", pings(2, "ir"))  # the wider key first: one exchange serves both
+    n = F.when(F.col("_step") == 1, F.col("_c")).when(F.col("_step") == 2, F.col("_n2")).otherwise(F.col("_n3"))
+    of = lambda c: F.when(F.col("_step") == 1, F.col(f"{c}1")).when(F.col("_step") == 2, F.col(f"{c}2")).otherwise(F.col(f"{c}3")) / n
+    named = F.when(F.col("_step") == 1, HOW[1]).when(F.col("_step") == 2, HOW[2]).otherwise(HOW[3])
+    return t.select(*TRIP, "ir", "_d", named.alias("_how"), (1 / n).alias("_wt"), of("_kg").alias("_kg"), of("_eu").alias("_eu"))
 
 
 def spread_catch(trails: DataFrame, events: DataFrame, remove_diagnostic: bool = True, check: bool = False) -> DataFrame:
@@ -57,23 +77,13 @@ def spread_catch(trails: DataFrame, events: DataFrame, remove_diagnostic: bool =
     require(events, {".eid": INTEGER, "VE_COU": "string", "VE_REF": "string", "FT_REF": "string", "date": "date", "LE_RECT": "string", "LE_KG": NUMERIC, "LE_EURO": NUMERIC})
     if check and trails.count() != trails.select("`.pid`").distinct().count():
         raise ValueError(".pid is not unique")
-    sums = _sums_by_trip(event_steps(trails, events))
-    fishing = F.col("state") == 1
-    count = lambda keys, taken: F.sum(F.when(taken & fishing, 1)).over(Window.partitionBy(*keys))
-    t = _null_safe(trails.withColumn("date", F.to_date("time")), sums, TRIP, "left")
-    t = t.withColumn("_here", F.try_element_at("_by_rect", F.col("ir"))).drop("_by_rect")
-    t = t.withColumns({"_s1": F.try_element_at("_here.days", F.col("date")), "_s2": F.col("_here.any")}).drop("_here")
-    t = t.withColumn("_one", F.coalesce(fishing & F.col("_s1").isNotNull(), F.lit(False)))
-    t = t.withColumn("_two", F.coalesce(~F.col("_one") & fishing & F.col("_s2").isNotNull(), F.lit(False)))
-    t = t.withColumn("_three", ~F.col("_one") & ~F.col("_two") & F.coalesce(fishing, F.lit(False)))
-    t = t.repartition(*TRIP)  # one exchange serves the three windows, whose keys all hold the trip's
-    t = t.withColumns({"_n1": count([*TRIP, "ir", "date"], F.col("_one")), "_n2": count([*TRIP, "ir"], F.col("_two")), "_n3": count(TRIP, F.col("_three"))})
-    pick = lambda name: F.when(F.col("_one"), F.col(f"_s1.{name}") / F.col("_n1")).when(F.col("_two"), F.col(f"_s2.{name}") / F.col("_n2")).when(F.col("_three"), F.col(f"_s3.{name}") / F.col("_n3"))
-    weight = F.when(F.col("_one"), 1 / F.col("_n1")).when(F.col("_two"), 1 / F.col("_n2")).when(F.col("_three"), 1 / F.col("_n3"))
-    how = F.when(F.col("_one"), HOW[1]).when(F.col("_two"), HOW[2]).when(F.col("_three"), HOW[3])
+    days = _fished(trails)
+    shares = _shares(days, _steps(events, days))
+    t = trails.drop("date").withColumns({"_day": F.to_date("time"), "_fishing": F.when(F.col("state") == 1, 1)})
+    t = _joined(t, shares.withColumn("_one", F.lit(1)), {**BY_TRIP, "ir": "ir", "_day": "_d"}, {"_fishing": "_one"})
     kept = [F.col(f"`{c}`") for c in trails.columns if c != "date"]
-    day = F.when(~F.col("_two"), F.col("date")).alias("date")
-    out = t.select(*kept, day, weight.alias(".wt"), pick("kg").alias("LE_KG"), pick("eu").alias("LE_EURO"), how.alias(".how"))
+    day = F.when(F.col("_how").eqNullSafe(HOW[2]), None).otherwise(F.col("_day")).alias("date")
+    out = t.select(*kept, day, F.col("_wt").alias(".wt"), F.col("_kg").alias("LE_KG"), F.col("_eu").alias("LE_EURO"), F.col("_how").alias(".how"))
     if check:
         given, spread = events.agg(sum0(F.col("LE_KG"))).first()[0], out.agg(sum0(F.col("LE_KG"))).first()[0]
         if abs(given - spread) > 1e-6 * max(1.0, abs(given)):

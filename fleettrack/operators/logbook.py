@@ -41,10 +41,10 @@ def lump_gears(lb: DataFrame) -> DataFrame:
 
 
 def _median_fill(lb: DataFrame, x: str, gears=None) -> DataFrame:
-    """Null `x` filled with its gear's median."""
+    """Null `x` filled with its gear's median; records without a gear have none."""
     rows = lb if gears is None else lb.where(F.col("gid").isin(*gears))
     medians = rows.groupBy("gid").agg(F.median(x).alias("_median")).withColumnRenamed("gid", "_gid")
-    return lb.join(medians, F.col("gid").eqNullSafe(F.col("_gid")), "left").withColumn(x, F.coalesce(F.col(x), F.col("_median"))).drop("_median", "_gid")
+    return lb.join(medians, F.col("gid") == F.col("_gid"), "left").withColumn(x, F.coalesce(F.col(x), F.col("_median"))).drop("_median", "_gid")
 
 
 def _cap_by_gear(lb: DataFrame, x: str, caps: dict[int, float]) -> DataFrame:

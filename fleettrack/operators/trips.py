@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,25 +15,21 @@ from ..functions.semantics import elapsed
 SHORT_GAP_MIN = 3.0
 
 
-def _split(pdf: pd.DataFrame, most_hours: float, compat_cut: bool) -> list[tuple[str, pd.Timestamp, pd.Timestamp]]:
-    """Cut one trip's pings at its longest gaps until no part is longer than `most_hours`, or a cut would be at a short gap."""
-    pdf = pdf.sort_values(["time", "_rid"], kind="stable")
-    time = pdf["time"].astype("datetime64[us]").to_numpy()
-    gap = pdf["gap_min"].to_numpy(float)
-    todo, done = [(str(pdf["trip"].iloc[0]), time[0], time[-1])], []
-    hours = lambda a, b: (b - a) / np.timedelta64(1, "s") / 3600
+def _split(name: str, time: np.ndarray, gap: np.ndarray, most_hours: float, compat_cut: bool) -> list[tuple[str, np.datetime64, np.datetime64]]:
+    """Cut one trip's pings (their times and minutes since the ping before, in order) at its longest gaps until no part is longer than `most_hours`, or a cut would be at a short gap."""
+    todo, done = deque([(name, time[0], time[-1])]), []
     while todo:
-        name, a, b = todo.pop(0)
-        inner = np.flatnonzero((time > a) & (time < b))
-        if hours(a, b) <= most_hours or len(inner) < 2:
+        name, a, b = todo.popleft()
+        first, end = int(np.searchsorted(time, a, "right")), int(np.searchsorted(time, b, "left"))  # pings inside
+        if (b - a) / np.timedelta64(1, "s") / 3600 <= most_hours or end - first < 2:
             done.append((name, a, b))
             continue
-        k = int(np.nanargmax(gap[inner][1:])) + (0 if compat_cut else 1)
-        if not gap[inner[k]] >= SHORT_GAP_MIN or (k == 0 and not compat_cut):
+        k = int(np.nanargmax(gap[first + 1 : end])) + (0 if compat_cut else 1)
+        if not gap[first + k] >= SHORT_GAP_MIN or (k == 0 and not compat_cut):
             done.append((name, a, b))
             continue
-        before = time[inner[k - 1]] if k else a
-        todo += [(f"{name}_1", a, before), (f"{name}_2", time[inner[k]], b)]
+        before = time[first + k - 1] if k else a
+        todo += [(f"{name}_1", a, before), (f"{name}_2", time[first + k], b)]
     return done
 
 
@@ -69,14 +66,19 @@ def harbour_trips(df: DataFrame, vessel: str, time: str, in_harbour: str, rid: s
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             """Many trips at once: a group for each trip would cost more than its cuts."""
-            rows = [(part["v"].iloc[0], *x) for _, part in pdf.groupby("trip", sort=False) for x in _split(part, most_hours, compat_cut)]
+            pdf = pdf.sort_values(["trip", "time", "_rid"], kind="stable")
+            name, v, gap = pdf["trip"].to_numpy(), pdf["v"].to_numpy(), pdf["gap_min"].to_numpy(float)
+            time = pdf["time"].astype("datetime64[us]").to_numpy()
+            first = np.append(np.flatnonzero(name[1:] != name[:-1]) + 1, len(name)) if len(name) else []
+            rows = [(v[i], *x) for i, j in zip([0, *first], first, strict=False) for x in _split(str(name[i]), time[i:j], gap[i:j], most_hours, compat_cut)]
             return pd.DataFrame(rows, columns=["v", "trip", "a", "b"])
 
         cut = long_ones.groupBy(F.pmod(F.xxhash64("trip"), F.lit(buckets))).applyInPandas(run, f"v {vkind}, trip string, a {kind}, b {kind}")
         cut = cut.where(hours > 0).where(hours >= least_hours)
         spans = spans.where(~cuttable).select("v", "trip", "a", "b").unionByName(cut)
     le = spans.select(F.col("v").alias("_v"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("trip").alias("trip_id"))
-    return df.join(le, (F.col(vessel) == F.col("_v")) & F.col(time).between(F.col("_a"), F.col("_b")), "left").drop("_v", "_a", "_b")
+    le = le.withColumn("_day", F.explode(F.sequence(F.to_date("_a"), F.to_date("_b"))))  # a vessel's trips are joined by day
+    return df.join(le, (F.col(vessel) == F.col("_v")) & (F.to_date(time) == F.col("_day")) & F.col(time).between(F.col("_a"), F.col("_b")), "left").drop("_v", "_a", "_b", "_day")
 
 
 def state_envelopes(df: DataFrame, state: str, time: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -101,7 +101,7 @@ def mmsi_category(v):
     return alls.select("mmsi", codes.mmsi_category(F.col("mmsi")).alias("category"))
 
 
-@query("""SELECT c_custkey, mmsi, flag FROM stations LEFT JOIN flags ON MID = CASE WHEN mmsi[1] BETWEEN '2' AND '7' THEN cast(mmsi[1:3] AS int) WHEN mmsi[1:2] = '98' THEN cast(mmsi[3:5] AS int) END""", "stations flags")
+@query("""SELECT c_custkey, mmsi, flag FROM stations LEFT JOIN flags ON MID = CASE WHEN length(mmsi) <> 9 OR length(translate(mmsi, '0123456789', '')) > 0 THEN NULL WHEN mmsi[1] BETWEEN '2' AND '7' THEN cast(mmsi[1:3] AS int) WHEN mmsi[1:2] = '98' THEN cast(mmsi[3:5] AS int) END""", "stations flags")
 def mmsi_flag(v):
     return codes.mmsi_flag(v("stations"), v("flags")).select("c_custkey", "mmsi", "flag")
 
@@ -236,24 +236,17 @@ def rms(v):
     return track.rms_table(v("smooth"), "lon", "lat", "time", BY, ORDER).select("pid", r(F.col("`.vd`"), 3).alias("vd"), r(F.col("`.vt`"), 4).alias("vt"), r(F.col("`.vs`"), 4).alias("vs"))
 
 
-@query("""WITH a AS (SELECT vid, date_trunc('minute', time) AS t, avg(value) AS value FROM pings WHERE vid < 40 GROUP BY 1, 2),
+@query("""WITH a AS (SELECT vid, date_trunc('minute', time) AS t, avg(value) AS value FROM pings GROUP BY 1, 2),
 e AS (SELECT vid, min(t) AS a, max(t) AS b FROM a GROUP BY 1),
 g AS (SELECT vid, unnest(generate_series(a, b, interval 1 minute)) AS t FROM e),
 j AS (SELECT g.vid, g.t, value, epoch(g.t) AS x FROM g LEFT JOIN a USING (vid, t)),
 b AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN x END IGNORE NULLS) OVER p AS x0, last_value(value IGNORE NULLS) OVER p AS y0,
  first_value(CASE WHEN value IS NOT NULL THEN x END IGNORE NULLS) OVER n AS x1, first_value(value IGNORE NULLS) OVER n AS y1 FROM j
  WINDOW p AS (PARTITION BY vid ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY vid ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT vid, count(*) AS minutes, round(sum(coalesce(value, y0 + (y1 - y0) * (x - x0) / nullif(x1 - x0, 0))), 3) AS total FROM b GROUP BY 1""", "pings")
+SELECT vid, count(*) AS minutes, round(sum(coalesce(value, y0 + (y1 - y0) * (x - x0) / nullif(x1 - x0, 0))) + 1e-5, 3) AS total FROM b GROUP BY 1""", "pings")
 def resample_minutes(v):
-    out = track.resample(v("pings").where("vid < 40").select("vid", "time", "value"), "time", ["value"], BY)
-    return out.groupBy("vid").agg(F.count(F.lit(1)).alias("minutes"), r(F.sum("value"), 3).alias("total"))
-
-
-@query()
-def resample_minutes_whole(v):
-    """Of all vessels. The SQL of resample_minutes has the first 40."""
     out = track.resample(v("pings").select("vid", "time", "value"), "time", ["value"], BY)
-    return out.groupBy("vid").agg(F.count(F.lit(1)).alias("minutes"), r(F.sum("value"), 3).alias("total"))
+    return out.groupBy("vid").agg(F.count(F.lit(1)).alias("minutes"), F.round(F.sum("value") + F.lit(1e-5), 3).alias("total"))
 
 
 @query()
@@ -284,7 +277,7 @@ def _scan_sql(measure: str, limit: str, first_rule: bool) -> str:
     step = f"""SELECT n.vid, n.n, n.pid, {bad} AS bad, CASE WHEN {bad} THEN {keep[0]} ELSE n.lon END, CASE WHEN {bad} THEN {keep[1]} ELSE n.lat END, CASE WHEN {bad} THEN {keep[2]} ELSE n.time END
  FROM s JOIN n ON n.vid = s.vid AND n.n = s.n + 1"""
     final = "SELECT pid, CASE WHEN n = 1 THEN coalesce(lead(bad) OVER (PARTITION BY vid ORDER BY n), false) WHEN n = 2 THEN false ELSE bad END AS whacky FROM s" if first_rule else "SELECT pid, bad AS whacky FROM s"
-    return f"""RECURSIVE n AS (SELECT *, row_number() {OVER} AS n FROM smooth WHERE vid < 30),
+    return f"""RECURSIVE n AS (SELECT *, row_number() {OVER} AS n FROM smooth),
 s AS (SELECT vid, n, pid, false AS bad, lon, lat, time FROM n WHERE n = 1 UNION ALL {step})
 {final}"""
 
@@ -295,23 +288,12 @@ def _recursive(text: str) -> str:
 
 @query()
 def whacky_speed(v):
-    d = outliers.implausible_speed(v("smooth").where("vid < 30"), "lon", "lat", "time", BY, ORDER, 0.4)
+    d = outliers.implausible_speed(v("smooth"), "lon", "lat", "time", BY, ORDER, 0.4)
     return d.select("pid", "whacky")
 
 
 @query()
 def whacky_distance(v):
-    return outliers.implausible_distance(v("smooth").where("vid < 30"), "lon", "lat", BY, ORDER, 0.02).select("pid", "whacky")
-
-
-@query()
-def whacky_speed_whole(v):
-    """Of all vessels. The recursive SQL of whacky_speed and whacky_distance has the first 30."""
-    return outliers.implausible_speed(v("smooth"), "lon", "lat", "time", BY, ORDER, 0.4).select("pid", "whacky")
-
-
-@query()
-def whacky_distance_whole(v):
     return outliers.implausible_distance(v("smooth"), "lon", "lat", BY, ORDER, 0.02).select("pid", "whacky")
 
 
@@ -324,6 +306,14 @@ def whacky_speed_trip(v):
     return outliers.implausible_trip_speed(v("smooth"), "lon", "lat", "time", BY, ORDER, filter=False, most_knots=0.4).select("pid", "whacky")
 
 
+@query()
+def whacky_speed_trip_filtered(v):
+    return outliers.implausible_trip_speed(v("smooth"), "lon", "lat", "time", BY, ORDER).select("pid")
+
+
+SQL["whacky_speed_trip_filtered"] = "SELECT pid FROM (" + _recursive(_scan_sql("DIST / SECS", "25e0 / 1.94384449e0", True)) + ") WHERE NOT whacky"
+
+
 @query()
 def whacky_mendo(v):
     d = v("smooth").selectExpr("lon * 100000 AS x", "lat * 100000 AS y", "time", "vid AS device_id", "pid AS seq")
@@ -338,11 +328,11 @@ def peek(v):
 
 # ---- trips and joins
 
-INTERVALS = "intervals AS (SELECT vid, pid AS tid, time AS t1, time + interval '2' hour AS t2 FROM pings WHERE pid % 10 = 0)"
+INTERVALS = "intervals AS (SELECT vid, pid AS tid, time AS t1, time + interval '2' hour AS t2 FROM pings)"
 
 
 def _intervals(v):
-    return v("pings").where("pid % 10 = 0").selectExpr("vid", "pid AS tid", "time AS T1", "time + interval '2' hour AS T2")
+    return v("pings").selectExpr("vid", "pid AS tid", "time AS T1", "time + interval '2' hour AS T2")
 
 
 @query(f"WITH {INTERVALS} SELECT p.pid, p.vid, i.tid FROM pings p LEFT JOIN intervals i ON p.vid = i.vid AND p.time BETWEEN i.t1 AND i.t2", "pings")
@@ -369,32 +359,6 @@ def validity_join(v):
     return joins.validity_join(v("pings"), _intervals(v), key="vid", start="T1", end="T2").select("pid", "tid")
 
 
-def _all_intervals(v):
-    """Two hours from every ping."""
-    return v("pings").selectExpr("vid", "pid AS tid", "time AS T1", "time + interval '2' hour AS T2")
-
-
-@query()
-def add_tripid_whole(v):
-    return joins.add_trip_id(v("pings").select("pid", "vid", "time"), _all_intervals(v)).select("pid", "vid", "tid")
-
-
-@query()
-def add_tripid_bucketed_whole(v):
-    return joins.add_trip_id(v("pings").select("pid", "vid", "time"), _all_intervals(v), bucket_seconds=6 * 3600).select("pid", "vid", "tid")
-
-
-@query()
-def interval_id_whole(v):
-    out = joins.interval_id(v("pings"), _all_intervals(v), start="T1", end="T2", id="tid")
-    return out.select("vid", F.unix_micros(F.col("time").cast("timestamp")).alias("us"), "tid")
-
-
-@query()
-def validity_join_whole(v):
-    return joins.validity_join(v("pings"), _all_intervals(v), key="vid", start="T1", end="T2").select("pid", "tid")
-
-
 JEPOL = f"""m AS (SELECT vid, pid, time, in_harbour AS h, lag(in_harbour) {OVER} AS ph, min(in_harbour::int) OVER (PARTITION BY vid) <> max(in_harbour::int) OVER (PARTITION BY vid) AS mixed FROM pings),
 k AS (SELECT *, sum(CASE WHEN NOT h AND (ph IS NULL OR ph) THEN 1 ELSE 0 END) {OVER} AS n, coalesce(h AND NOT ph, false) AS arrive FROM m WHERE mixed),
 s AS (SELECT vid, n, min(time) AS a, max(time) AS b FROM k WHERE NOT h OR arrive GROUP BY 1, 2)"""
@@ -536,7 +500,7 @@ def lump_gears(v):
 
 
 @query("""WITH m AS (SELECT gid, median(effort) AS med FROM logbook GROUP BY 1),
-a AS (SELECT l.*, coalesce(effort, med) AS e FROM logbook l JOIN m USING (gid)), b AS (SELECT *, lead(t1) OVER (PARTITION BY vid ORDER BY t1, visir) AS nx FROM a)
+a AS (SELECT l.*, coalesce(effort, med) AS e FROM logbook l LEFT JOIN m ON l.gid = m.gid), b AS (SELECT *, lead(t1) OVER (PARTITION BY vid ORDER BY t1, visir) AS nx FROM a)
 SELECT visir, round(CASE WHEN gid = 6 THEN least(e, 12) WHEN gid = 7 THEN least(e, 24) WHEN gid = 14 THEN least(e, 15) ELSE e END, 9) AS effort, t2 > nx AS overlap,
  epoch(CASE WHEN t2 > nx THEN date_trunc('second', nx - interval '1' minute) ELSE t2 END)::BIGINT AS t2 FROM b""", "logbook")
 def cap_effort(v):
@@ -567,17 +531,10 @@ def gear_width(v):
 
 
 @query("""WITH c AS (SELECT visir % 2000 AS visir, sum(effort) AS catch FROM logbook GROUP BY 1)
-SELECT l.visir, CASE WHEN gid < 10 THEN 'mobile' ELSE 'static' END AS source, round(coalesce(catch, CASE WHEN c.visir IS NOT NULL THEN 0 END) + 3e-8, 4) AS catch FROM logbook l LEFT JOIN c ON l.visir = c.visir WHERE year(date) IN (1995, 1996, 1997) AND vid % 2 = 0""", "logbook")
+SELECT l.visir, CASE WHEN gid < 10 THEN 'mobile' ELSE 'static' END AS source, round(coalesce(catch, CASE WHEN c.visir IS NOT NULL THEN 0 END) + 3e-8, 4) AS catch FROM logbook l LEFT JOIN c ON l.visir = c.visir WHERE year(date) IN (1995, 1996, 1997)""", "logbook")
 def logbook_records(v):
-    lb = v("logbook").where("vid % 2 = 0")
-    catch = v("logbook").selectExpr("visir % 2000 AS visir", "effort AS catch")
-    return logbook.logbook(lb.where("gid < 10"), lb.where("gid >= 10"), catch, years=(1995, 1996, 1997)).select("visir", "source", untied(F.col("catch")).alias("catch"))
-
-
-@query()
-def logbook_records_whole(v):
-    """Of all vessels. logbook_records and its SQL have the even ones."""
-    lb, catch = v("logbook"), v("logbook").selectExpr("visir % 2000 AS visir", "effort AS catch")
+    lb = v("logbook")
+    catch = lb.selectExpr("visir % 2000 AS visir", "effort AS catch")
     return logbook.logbook(lb.where("gid < 10"), lb.where("gid >= 10"), catch, years=(1995, 1996, 1997)).select("visir", "source", untied(F.col("catch")).alias("catch"))
 
 
@@ -690,29 +647,18 @@ def database_trail(v):
     return readers.database_trail(v("pings").withColumn("heading", F.lit(1.0))).select("pid", r(F.col("lon")).alias("lon"), r(F.col("speed")).alias("speed"))
 
 
-@query("""WITH m AS (SELECT DISTINCT vid AS mid, vid + 1000 AS vid FROM pings WHERE vid < 50)
-SELECT p.pid, m.vid FROM pings p JOIN m ON p.vid = m.mid WHERE p.time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND m.vid % 2 = 0 AND (m.vid % 3 = 0 OR m.vid % 5 = 0)""", "pings")
+@query("""WITH m AS (SELECT DISTINCT vid AS mid, vid + 1000 AS vid FROM pings)
+SELECT p.pid, m.vid FROM pings p JOIN m ON p.vid = m.mid WHERE p.time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND (m.vid % 3 = 0 OR m.vid % 5 = 0)""", "pings")
 def vessel_trail(v):
-    p = v("pings").withColumnRenamed("vid", "mid")
-    m = v("pings").where("vid < 50").select(F.col("vid").alias("mid"), (F.col("vid") + 1000).alias("vid")).distinct()
-    m = m.selectExpr("mid", "vid", "CASE WHEN vid % 3 = 0 THEN 1 END AS pings", "CASE WHEN vid % 5 = 0 THEN 'manual' ELSE 'auto' END AS link", "'2024:01:05' AS t1", "'2024:01:20' AS t2")
-    periods = readers.mobile_periods(m).withColumns({t: F.col(t).cast("timestamp_ntz") for t in ("t1", "t2")})
-    return readers.vessel_trail(p, periods, range(1000, 1050, 2)).select("pid", "vid")
-
-
-@query()
-def vessel_trail_whole(v):
-    """The periods of all devices. vessel_trail and its SQL have the devices below 50 and the even vessels."""
     p = v("pings").withColumnRenamed("vid", "mid")
     m = p.select("mid", (F.col("mid") + 1000).alias("vid")).distinct()
     m = m.selectExpr("mid", "vid", "CASE WHEN vid % 3 = 0 THEN 1 END AS pings", "CASE WHEN vid % 5 = 0 THEN 'manual' ELSE 'auto' END AS link", "'2024:01:05' AS t1", "'2024:01:20' AS t2")
     periods = readers.mobile_periods(m).withColumns({t: F.col(t).cast("timestamp_ntz") for t in ("t1", "t2")})
-    vids = [r["vid"] for r in m.select("vid").collect()]
-    return readers.vessel_trail(p, periods, vids).select("pid", "vid")
+    return readers.vessel_trail(p, periods, m.select("vid")).select("pid", "vid")
 
 
 @query("""WITH u AS (SELECT pid, vid, time, 'a' AS source, lon, lat FROM pings WHERE pid % 2 = 0 UNION ALL SELECT pid, vid, time, 'b', lon, lat FROM pings WHERE pid % 2 = 1)
-SELECT pid, row_number() OVER (PARTITION BY vid ORDER BY time, source) AS rid FROM u WHERE time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-12-31' AND lon BETWEEN -60 AND 60 AND lat BETWEEN 50 AND 80""", "pings")
+SELECT pid, row_number() OVER (ORDER BY vid, time, source, lon, lat) AS rid FROM u WHERE time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-12-31' AND lon BETWEEN -60 AND 60 AND lat BETWEEN 50 AND 80""", "pings")
 def combined_trails(v):
     p = v("pings").withColumn("time", F.col("time").cast("timestamp"))
     out = readers.combined_trails({"a": p.where("pid % 2 = 0"), "b": p.where("pid % 2 = 1")}, [2024], distinct_time=("a",))

@@ -28,7 +28,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "rid AS pid", "'XX' AS VE_COU", "cast(l_orderkey % 500 % 20 AS string) AS VE_REF", "l_shipdate AS time",
         "cast(l_orderkey % 500 AS string) AS FT_REF", "l_returnflag AS ir", "cast(l_quantity >= 10 AS int) AS state",
     ]),
-    "catches": ("numbered WHERE l_linenumber = 1", [
+    "catches": ("numbered", [
         "rid AS eid", "'XX' AS VE_COU", "cast(l_orderkey % 500 % 20 AS string) AS VE_REF", "cast(l_orderkey % 500 AS string) AS FT_REF",
         "CASE WHEN l_partkey % 3 <> 0 THEN cast(l_shipdate AS date) END AS date", "l_returnflag AS LE_RECT",
         "l_quantity AS LE_KG", "l_extendedprice AS LE_EURO",
@@ -40,7 +40,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN o_orderkey % 5 <> 0 THEN cast(o_orderkey % 400 AS double) END AS sweeps",
         "CASE WHEN o_orderkey % 4 <> 0 THEN cast(o_orderkey % 6 AS double) END AS plow_width",
     ]),
-    "stations": ("customer", ["c_custkey", "lpad(cast(c_custkey * 7919 + 200000000 AS string), 9, '0') AS mmsi", "c_acctbal"]),
+    "stations": ("customer", ["c_custkey", "CASE c_custkey % 9 WHEN 0 THEN concat(cast(c_custkey * 7919 + 200000000 AS string), '0') WHEN 1 THEN cast(200 + c_custkey % 25 AS string) WHEN 2 THEN concat(cast(200 + c_custkey % 25 AS string), 'abcdef') WHEN 3 THEN concat('98', cast(200 + c_custkey % 25 AS string), '1234') ELSE lpad(cast(c_custkey * 7919 + 200000000 AS string), 9, '0') END AS mmsi", "c_acctbal"]),
     "flags": ("nation", ["n_nationkey + 200 AS MID", "n_name AS flag"]),
     "metiers": ("nation", ["n_nationkey", "concat(n_name, '_>=120_0_0') AS metier"]),
     "xyz": ("lineitem", ["cast(l_partkey AS double) AS x", "cast(l_suppkey AS double) AS y", "l_extendedprice AS z"]),
@@ -51,9 +51,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     source, columns = VIEWS[name]
-    base, _, cond = source.partition(" WHERE ")
-    df = view(spark, sf_dir, "lineitem").distinct() if base.startswith("(") else view(spark, sf_dir, base)
-    return (df.where(cond) if cond else df).selectExpr(*columns)
+    df = view(spark, sf_dir, "lineitem").distinct() if source.startswith("(") else view(spark, sf_dir, source)
+    return df.selectExpr(*columns)
 
 
 def sql_views(*names: str) -> str:
@@ -63,7 +62,7 @@ def sql_views(*names: str) -> str:
     def add(name: str) -> None:
         if name in VIEWS and name not in out:
             source, columns = VIEWS[name]
-            add(source.partition(" ")[0])
+            add(source)
             out[name] = f"{name} AS (SELECT {', '.join(columns)} FROM {source})"
 
     for n in names:

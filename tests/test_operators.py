@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fleettrack.operators import allocation, behaviour, caps, joins, outliers, raster, spatial, summary, track, trips
+from fleettrack.operators import allocation, behaviour, caps, joins, logbook, outliers, raster, spatial, summary, track, trips
 from fleettrack.sources import readers, sinks
 from fleettrack.streaming.trips import trip_sessions
 
@@ -266,3 +266,71 @@ def test_forest_by_trip(spark):
     out = behaviour.forest_by_trip(d, ["x", "y"], "label", "tid", folds=2, trees=5)
     assert out.count() == 60 and summary.accuracy(out, "label", "predicted").first()["accuracy"] > 0.9
     assert out.groupBy("tid").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
+
+
+def test_planar_filter_columns(spark):
+    rows = [(0.0, 0.0, dt.datetime(2024, 1, 1, 0, 0, 0), 1, 1), (-3.0, 4.0, dt.datetime(2024, 1, 1, 0, 0, 10), 1, 2), (900.0, 0.0, dt.datetime(2024, 1, 1, 0, 0, 11), 1, 3), (0.0, 0.0, dt.datetime(2024, 1, 1, 0, 0, 20), 1, 4), (0.0, 0.0, dt.datetime(2024, 1, 1, 0, 0, 30), 1, 5)]
+    got = outliers.planar_speed_filter(spark.createDataFrame(rows, "x double, y double, time timestamp, device_id int, seq int")).orderBy("seq").collect()
+    assert [(r["seq"], r["dx"], r["dy"], r["dt"], r["dd"]) for r in got] == [(1, 0, 0, None, 0), (2, 3, 4, 10, 5), (5, 3, 4, 20, 5)]  # 3 and 4 are too fast at once
+    assert got[0]["speed"] is None and got[1]["speed"] == pytest.approx(0.5 * 1.9438)
+
+
+def test_scan_jumps_as_it_would_step():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 40, 200):
+        for timed in (True, False):
+            for _ in range(10):
+                lon, lat = np.cumsum(rng.normal(0, 0.001, n)) + (rng.random(n) < 0.3) * rng.normal(0, 1, n), np.full(n, 60.0)
+                if n > 5:
+                    lon[rng.integers(n)] = np.nan
+                seconds = np.cumsum(rng.integers(0, 3, n)) * 60.0
+                limit = 4.0 if timed else 200.0
+                want, last = np.zeros(n, bool), 0
+                for k in range(1, n):
+                    x, y = np.radians(lon), np.radians(lat)
+                    h = np.cos(y[last]) * np.cos(y[k]) * np.sin((x[k] - x[last]) / 2) ** 2
+                    d = 2 * outliers.EARTH_M * np.arcsin(np.sqrt(h))
+                    dt = seconds[k] - seconds[last]
+                    d = d if not timed else d / dt if dt else (np.inf if d > 0 else np.nan)
+                    if d > limit and k == 1 and timed:
+                        want[0], last = True, 1
+                    elif d > limit:
+                        want[k] = True
+                    else:
+                        last = k
+                assert outliers.scan(lon, lat, seconds if timed else None, limit, timed).tolist() == want.tolist()
+
+
+def test_trip_speed_filter_drops(spark):
+    d = readers.sample_outlier_track(spark)
+    flagged = outliers.implausible_speed(d, "lon", "lat", "time", ["vid"], ["time"])
+    left = outliers.implausible_trip_speed(d, "lon", "lat", "time", ["vid"], ["time"])
+    assert left.columns == d.columns and left.count() == flagged.where("NOT whacky").count() < d.count()
+
+
+def test_peek_within_groups(spark):
+    d = spark.createDataFrame([(v, k, 9.0 if (v, k) == (1, 5) else 0.0) for v in (1, 2) for k in range(1, 10)], "vid int, rid int, x double")
+    assert sorted((r["vid"], r["rid"]) for r in outliers.peek(d, "x", 5, rid="rid", by=["vid"]).collect()) == [(1, k) for k in range(3, 8)]
+    assert outliers.peek(d, "x", 5, rid="rid").count() == 10
+
+
+def test_effort_of_unknown_gears_is_not_filled(spark):
+    rows = [(1, None, 5.0), (2, None, None), (3, 6, 4.0), (4, 6, None)]
+    lb = spark.createDataFrame(rows, "visir int, gid int, effort double").selectExpr("*", "1 AS vid", "timestamp'2024-01-01 00:00:00' + visir * interval '1' day AS t1", "timestamp'2024-01-01 01:00:00' + visir * interval '1' day AS t2")
+    assert {r["visir"]: r["effort"] for r in logbook.cap_effort(lb).collect()} == {1: 5.0, 2: None, 3: 4.0, 4: 4.0}
+
+
+def test_trail_names_and_speeds(spark):
+    d = spark.createDataFrame([(7, "t", 3.141592653589793, 0.0, 0.0, 1.0, "H", "I")], "mobileid int, posdate string, poslon double, poslat double, heading double, speed double, harborid string, in_out_of_harbor string")
+    assert readers.database_trail(d).columns == ["mid", "time", "lon", "lat", "heading", "speed", "hid", "io"] and readers.database_trail(d).first()["lon"] == 180
+    p = spark.createDataFrame([(2, "2024-02-01 00:00:00", 1.0), (1, "2024-03-01 00:00:00", 1.0), (1, "2024-02-01 00:00:00", 1.0)], "vid int, time string, speed double").selectExpr("vid", "timestamp(time) AS time", "1.0D AS lon", "60.0D AS lat", "speed")
+    got = readers.combined_trails({"stk": p, "pam": p.limit(1)}, [2024], speeds_in_ms=("pam",)).orderBy("`.rid`").collect()
+    assert [(r[".rid"], r["vid"]) for r in got] == [(1, 1), (2, 1), (3, 2), (4, 2)] and sorted(round(r["speed"], 3) for r in got) == [1, 1, 1, 1.944]
+
+
+def test_flags_need_nine_digits(spark):
+    from fleettrack.functions import codes
+
+    d = spark.createDataFrame([(x,) for x in ("219000001", "219", "219abc", "2190000001", "219abc000", "982191234", "98219", "219000001\n", None)], "mmsi string")
+    flags = spark.createDataFrame([(219, "DK")], "MID int, flag string")
+    assert {r["mmsi"]: r["flag"] for r in codes.mmsi_flag(d, flags).collect() if r["flag"]} == {"219000001": "DK", "982191234": "DK"}

@@ -40,7 +40,7 @@ def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name, limit, timed", [("whacky_speed_whole", 0.4 / 1.94384449, True), ("whacky_distance_whole", 0.02 * 1852, False)])
+@pytest.mark.parametrize("name, limit, timed", [("whacky_speed", 0.4 / 1.94384449, True), ("whacky_distance", 0.02 * 1852, False)])
 def test_scans_flag_every_vessel(spark, name, limit, timed):
     got = {r["pid"]: r["whacky"] for r in registry.QUERIES[name](spark, SF).collect()}
     want = {}
@@ -66,7 +66,7 @@ def test_scans_flag_every_vessel(spark, name, limit, timed):
 
 
 def test_minute_grid_of_every_vessel(spark):
-    got = {r["vid"]: r["minutes"] for r in registry.QUERIES["resample_minutes_whole"](spark, SF).collect()}
+    got = {r["vid"]: r["minutes"] for r in registry.QUERIES["resample_minutes"](spark, SF).collect()}
     ends = view(spark, SF, "pings").toPandas().assign(t=lambda d: d["time"].dt.floor("min")).groupby("vid")["t"].agg(["min", "max"])
     assert got == {v: int((b - a).total_seconds()) // 60 + 1 for v, a, b in ends.itertuples()}
 
@@ -87,28 +87,3 @@ def test_forest_query_uses_the_operator_s_defaults(spark, monkeypatch):
     registry.QUERIES["forest_by_trip"](spark, SF)
     vessels = view(spark, SF, "pings").where("kind IN ('click', 'view')").select("vid").distinct().count()
     assert seen == {"vessels": vessels}
-
-
-#: The SQL of a query without its filter, over all rows.
-WHOLE = {
-    "add_tripid_whole": ("add_tripid", " WHERE pid % 10 = 0"),
-    "add_tripid_bucketed_whole": ("add_tripid", " WHERE pid % 10 = 0"),
-    "interval_id_whole": ("interval_id", " WHERE pid % 10 = 0"),
-    "validity_join_whole": ("validity_join", " WHERE pid % 10 = 0"),
-    "logbook_records_whole": ("logbook_records", " AND vid % 2 = 0"),
-}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_tables_against_sql(spark, duck, name):
-    base, part = WHOLE[name]
-    assert part in registry.SQL[base]
-    got = normal(registry.QUERIES[name](spark, SF).toPandas())
-    pd.testing.assert_frame_equal(got, normal(duck.execute(registry.SQL[base].replace(part, "")).df()))
-    assert len(got) > 0
-
-
-def test_trails_of_every_device(spark, duck):
-    text = registry.SQL["vessel_trail"].replace(" WHERE vid < 50", "").replace(" AND m.vid % 2 = 0", "")
-    got = normal(registry.QUERIES["vessel_trail_whole"](spark, SF).toPandas())
-    pd.testing.assert_frame_equal(got, normal(duck.execute(text).df()))
