@@ -34,7 +34,9 @@ def _fished(trails: DataFrame) -> DataFrame:
     return trails.where("state = 1").groupBy(*TRIP, "ir", F.to_date("time").alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
 
 
-def _steps(events: DataFrame, days: DataFrame) -> DataFrame:
+def event_steps(trails: DataFrame, events: DataFrame) -> DataFrame:
+    """Events with `step`: 1 if a fishing ping of the trip has its day and rectangle; 2 if it has no date and one has its rectangle; 3 if the trip has fishing pings; else 9999."""
+    days = _fished(trails)
     then = days.select(*TRIP, "ir", "_d", F.lit(True).alias("_then"))
     there = days.groupBy(*TRIP, "ir").agg(F.lit(True).alias("_there"))
     ever = days.groupBy(*TRIP).agg(F.lit(True).alias("_ever"))
@@ -44,23 +46,24 @@ def _steps(events: DataFrame, days: DataFrame) -> DataFrame:
     return known.withColumn("step", step).drop("_then", "_there", "_ever")
 
 
-def event_steps(trails: DataFrame, events: DataFrame) -> DataFrame:
-    """Events with `step`: 1 if a fishing ping of the trip has its day and rectangle; 2 if it has no date and one has its rectangle; 3 if the trip has fishing pings; else 9999."""
-    return _steps(events, _fished(trails))
-
-
-def _shares(days: DataFrame, steps: DataFrame) -> DataFrame:
-    """For each trip, rectangle and day of fishing what one ping gets: _how, _wt, _kg, _eu. All that is summed and counted here has a row for each day and rectangle, not for each ping."""
-
-    def sums(step: int, *by: str) -> DataFrame:
-        return steps.where(F.col("step") == step).groupBy(*TRIP, *by).agg(sum0(F.col("LE_KG")).alias(f"_kg{step}"), sum0(F.col("LE_EURO")).alias(f"_eu{step}"))
+def _shares(days: DataFrame, events: DataFrame) -> DataFrame:
+    """For each trip, rectangle and day of fishing what one ping gets: _how, _wt, _kg, _eu.
 
-    t = _joined(days, sums(1, "LE_RECT", "date"), BY_TRIP, {"ir": "LE_RECT", "_d": "date"})
-    t = _joined(_joined(t, sums(2, "LE_RECT"), BY_TRIP, {"ir": "LE_RECT"}), sums(3), BY_TRIP, {})
-    how = F.when(F.col("_kg1").isNotNull(), 1).when(F.col("_kg2").isNotNull(), 2).otherwise(3)
-    t = t.withColumn("_step", how)
-    pings = lambda step, *by: F.sum(F.when(F.col("_step") == step, F.col("_c"))).over(Window.partitionBy(*TRIP, *by))
-    t = t.withColumn("_n3", pings(3)).withColumn("_n2", pings(2, "ir"))  # the wider key first: one exchange serves both
+    Pings and events are counted and summed by trip, rectangle and day first; what follows is windows over those sums, all within the trip.
+    """
+    sums = events.groupBy(*TRIP, F.col("LE_RECT").alias("ir"), F.col("date").alias("_d")).agg(sum0(F.col("LE_KG")).alias("_kg"), sum0(F.col("LE_EURO")).alias("_eu"))
+    t = days.unionByName(sums, allowMissingColumns=True)
+    within = lambda *by: Window.partitionBy(*TRIP, *by)
+    rect, day = F.col("ir").isNotNull(), F.col("ir").isNotNull() & F.col("_d").isNotNull()
+    for name, by in (("_ever", ()), ("_there", ("ir",)), ("_then", ("ir", "_d"))):  # the widest key first: its exchange serves all
+        t = t.withColumn(name, F.max("_c").over(within(*by)).isNotNull())
+    t = t.withColumn("_step", F.when(F.col("_c").isNull(), F.when(day & F.col("_then"), 1).when(F.col("_d").isNull() & rect & F.col("_there"), 2).when(F.col("_ever"), 3)))
+    for step, by in ((3, ()), (2, ("ir",)), (1, ("ir", "_d"))):
+        of_step = lambda c, step=step: F.when(F.col("_step") == step, F.col(c))
+        t = t.withColumns({f"{c}{step}": F.sum(of_step(c)).over(within(*by)) for c in ("_kg", "_eu")})
+    t = t.where(F.col("_c").isNotNull()).withColumn("_step", F.when(day & F.col("_kg1").isNotNull(), 1).when(rect & F.col("_kg2").isNotNull(), 2).otherwise(3))
+    pings = lambda step, *by: F.sum(F.when(F.col("_step") == step, F.col("_c"))).over(within(*by))
+    t = t.withColumn("_n3", pings(3)).withColumn("_n2", pings(2, "ir"))
     n = F.when(F.col("_step") == 1, F.col("_c")).when(F.col("_step") == 2, F.col("_n2")).otherwise(F.col("_n3"))
     of = lambda c: F.when(F.col("_step") == 1, F.col(f"{c}1")).when(F.col("_step") == 2, F.col(f"{c}2")).otherwise(F.col(f"{c}3")) / n
     named = F.when(F.col("_step") == 1, HOW[1]).when(F.col("_step") == 2, HOW[2]).otherwise(HOW[3])
@@ -77,8 +80,7 @@ def spread_catch(trails: DataFrame, events: DataFrame, remove_diagnostic: bool =
     require(events, {".eid": INTEGER, "VE_COU": "string", "VE_REF": "string", "FT_REF": "string", "date": "date", "LE_RECT": "string", "LE_KG": NUMERIC, "LE_EURO": NUMERIC})
     if check and trails.count() != trails.select("`.pid`").distinct().count():
         raise ValueError(".pid is not unique")
-    days = _fished(trails)
-    shares = _shares(days, _steps(events, days))
+    shares = _shares(_fished(trails), events)
     t = trails.drop("date").withColumns({"_day": F.to_date("time"), "_fishing": F.when(F.col("state") == 1, 1)})
     t = _joined(t, shares.withColumn("_one", F.lit(1)), {**BY_TRIP, "ir": "ir", "_day": "_d"}, {"_fishing": "_one"})
     kept = [F.col(f"`{c}`") for c in trails.columns if c != "date"]
