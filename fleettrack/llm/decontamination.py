@@ -3,7 +3,8 @@
 A passage within e edits of a benchmark item of m characters shares m - q + 1 - q*e q-grams with it, on diagonals no further apart than e.
 Texts and items are compared in lower case with runs of white space as one blank. For every text, q-grams found in the items' index
 are counted by item and by overlapping bands of diagonals (each 2e+1 wide or more, a step of e+1 apart, so that some band holds any
-e+1 neighbouring diagonals); bands that reach the bound are verified by banded alignment, and give the least edits of the item within the text.
+e+1 neighbouring diagonals). Bands that reach the bound are verified on the diagonals that their q-grams lie on and e more on each side: items
+that stand there unchanged are found as they are, others by banded alignment. Places that overlap are one, with the least edits.
 
 Contracts: null and empty texts and items match nothing; items shorter than `min_chars` match as whole words without edits;
 repeated texts, items and ids are each reported; very long texts are whole; extra columns are ignored; empty tables give no rows.
@@ -12,6 +13,7 @@ repeated texts, items and ids are each reported; very long texts are whole; extr
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,14 +57,15 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], q: int, share: float, min_chars: int):
         named = [(i, normal(t)) for i, t in items]
-        kept = [(i, codes_of(n)) for i, n in named if len(n) >= min_chars]
+        kept = [(i, codes_of(n), n) for i, n in named if len(n) >= min_chars]
         self.short: dict[str, list[int]] = {}
         self.lengths: dict[str, set[int]] = {}
         for i, n in named:
             if n and len(n) < min_chars:
                 self.short.setdefault(n, []).append(i)
                 self.lengths.setdefault(WORD.match(n)[0], set()).add(len(n))
-        self.q, self.ids, self.codes = q, [i for i, _ in kept], [c for _, c in kept]
+        self.q = q
+        self.ids, self.codes, self.texts = ([x[k] for x in kept] for k in range(3))
         self.edits = np.array([min(int(share * len(c)), (len(c) - q) // q) for c in self.codes], np.int64)
         self.bound = np.array([len(c) - q + 1 - q * e for c, e in zip(self.codes, self.edits.tolist(), strict=True)], np.int64)
         hashes = [grams(c, q) for c in self.codes]
@@ -96,33 +99,57 @@ class Index:
         step = self.edits[item] + 1
         band = diagonal // step
         key = np.concatenate([item << 40 | band, item << 40 | (band - 1)])  # band b holds diagonals [b*step, (b+2)*step)
-        key, count = np.unique(key, return_counts=True)
-        hit = key[count >= self.bound[key >> 40]]
+        order = np.argsort(key, kind="stable")
+        key, diagonal = key[order], np.concatenate([diagonal, diagonal])[order] - (1 << 20)
+        edge = np.flatnonzero(np.diff(key, prepend=-1))
+        hit = np.diff(np.append(edge, len(key))) >= self.bound[key[edge] >> 40]
+        low, high = np.minimum.reduceat(diagonal, edge)[hit], np.maximum.reduceat(diagonal, edge)[hit]
         out: list[tuple[int, int, int]] = []
-        for k in hit.tolist():
+        before = (-1, 0)
+        for k, first, last in zip(key[edge][hit].tolist(), low.tolist(), high.tolist(), strict=True):
             i, b = k >> 40, k & (1 << 40) - 1
-            s = int(self.edits[i]) + 1
-            first, last = b * s - (1 << 20), (b + 2) * s - 1 - (1 << 20)
-            if out and out[-1][0] == i and first <= out[-1][2] + 1:
-                out[-1] = (i, out[-1][1], last)
+            if before[0] == i and b <= before[1] + 2:  # the bands overlap or touch
+                out[-1] = (i, min(first, out[-1][1]), max(last, out[-1][2]))
             else:
                 out.append((i, first, last))
+            before = (i, b)
         return out
 
-    def verify(self, codes: np.ndarray, item: int, first: int, last: int) -> tuple[int, int, int] | None:
-        """Least edits of the item within the text on the diagonals first - e to last + e, with the span; None above the budget."""
+    def _reached(self, text: np.ndarray, walls: np.ndarray, cost: np.ndarray, item: int) -> bool:
+        """Whether a banded alignment stays within the budget. Costs are held less their column; a row with all of them above the budget ends it."""
+        width, e = len(cost), int(self.edits[item])
+        cols, walled = np.arange(width, dtype=np.int32), bool(walls.any())
+        cost = cost - cols
+        for i, letter in enumerate(self.codes[item]):
+            new = cost + (text[i : i + width] != letter)
+            if walled:
+                new += walls[i : i + width]
+            np.minimum(new[:-1], cost[1:] + 2, out=new[:-1])
+            cost = np.minimum.accumulate(new)
+            if i % 8 == 7 and (cost + cols).min() > e:
+                return False
+        return bool((cost + cols).min() <= e)
+
+    def verify(self, text: str, codes: np.ndarray, item: int, first: int, last: int) -> list[tuple[int, int, int]]:
+        """(edits, start, end) of the places of the item on the diagonals first - e to last + e, within the budget. Of places that overlap, the one of least edits, then the first, stays."""
         pattern, e = self.codes[item], int(self.edits[item])
         lo, m = first - e, len(pattern)
+        if last - first + 3 * e < m:  # there is no room for two places
+            at = text.find(self.texts[item], max(lo, 0), max(last + e + m, 0))
+            if at >= 0:
+                return [(0, at, at + m)]
         width = last + e - lo + 1
         big = m + width
-        cols = np.arange(width)
-        cost = np.where((cols + lo >= 0) & (cols + lo <= len(codes)), 0, big)  # row 0: the item may start at any place
+        cols = np.arange(width, dtype=np.int32)
+        cost = np.where((cols + lo >= 0) & (cols + lo <= len(codes)), 0, big).astype(np.int32)  # row 0: the item may start at any place
+        near, walls = np.zeros(width + m, np.uint32), np.full(width + m, big, np.int32)
+        a, b = max(lo, 0), min(lo + width + m, len(codes))
+        near[a - lo : b - lo], walls[a - lo : b - lo] = codes[a:b], 0
+        if not self._reached(near, walls, cost, item):
+            return []
         start = cols + lo
-        for i in range(1, m + 1):
-            place = cols + lo + i - 1  # the text's character that this cell takes on the diagonal
-            inside = (place >= 0) & (place < len(codes))
-            differs = np.where(inside, codes[np.clip(place, 0, max(0, len(codes) - 1))] != pattern[i - 1], big)
-            diagonal = cost + differs
+        for i, letter in enumerate(pattern):
+            diagonal = cost + (near[i : i + width] != letter) + walls[i : i + width]
             up, up_start = np.append(cost[1:] + 1, big), np.append(start[1:], 0)
             new = np.where(up < diagonal, up, diagonal)
             new_start = np.where(up < diagonal, up_start, start)
@@ -131,17 +158,21 @@ class Index:
             better = run + cols < new
             start = np.where(better, new_start[source], new_start)
             cost = np.where(better, run + cols, new)
-        best = int(np.argmin(cost))
-        if cost[best] > e:
-            return None
-        return int(cost[best]), int(start[best]), int(best + lo + m)
+        ends = np.flatnonzero(cost <= e)
+        taken, out = np.zeros(width + m + 1, bool), []
+        for k in ends[np.argsort(cost[ends], kind="stable")].tolist():
+            x, y = int(start[k]) - lo, k + m
+            if not taken[x:y].any():
+                taken[x:y] = True
+                out.append((int(cost[k]), x + lo, y + lo))
+        return sorted(out, key=lambda place: place[1])
 
     def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) in the normal form of `text`."""
         text = normal(text)
         codes = codes_of(text)
-        found = ((self.ids[i], self.verify(codes, i, a, b)) for i, a, b in self.candidates(codes))
-        return [(i, v[1], v[2], v[0]) for i, v in found if v] + self.exact(text)
+        found = [(self.ids[i], x, y, n) for i, a, b in self.candidates(codes) for n, x, y in self.verify(text, codes, i, a, b)]
+        return found + self.exact(text)
 
     def exact(self, text: str) -> list[tuple[int, int, int, int]]:
         """The short items that stand in the normal form `text` as whole words, one after the other."""
@@ -154,6 +185,17 @@ class Index:
         return out
 
 
+_held: dict[str, Index] = {}
+
+
+def _index(key: str, items: list[tuple[int, str]], q: int, share: float, min_chars: int) -> Index:
+    """The index of a block of items; a worker process keeps the last one for its next tasks."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = Index(items, q, share, min_chars)
+    return _held[key]
+
+
 FOUND = "doc_id long, item_id long, start long, end long, edits long"
 
 
@@ -175,10 +217,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, share: float = 0.1,
     spark, out = docs.sparkSession, None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     for block in _item_blocks(benchmark, item_col, item_text_col, block_chars):
-        cloud = spark.sparkContext.broadcast(block)
+        cloud, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], cloud=cloud) -> Iterator[pa.RecordBatch]:
-            index = Index(cloud.value, q, share, min_chars)
+        def run(batches: Iterator[pa.RecordBatch], cloud=cloud, key=key) -> Iterator[pa.RecordBatch]:
+            index = _index(key, cloud.value, q, share, min_chars)
             for batch in slices(batches):
                 found = [(d, *x) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in index.leaks(t)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 5)], names=["doc_id", "item_id", "start", "end", "edits"])
@@ -192,10 +234,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, share: floa
     """The rows of `docs` that hold no item, with all their columns."""
     spark, place = docs.sparkSession, docs.columns.index(text_col)
     for block in _item_blocks(benchmark, item_col, item_text_col, block_chars):
-        cloud = spark.sparkContext.broadcast(block)
+        cloud, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], cloud=cloud) -> Iterator[pa.RecordBatch]:
-            index = Index(cloud.value, q, share, min_chars)
+        def run(batches: Iterator[pa.RecordBatch], cloud=cloud, key=key) -> Iterator[pa.RecordBatch]:
+            index = _index(key, cloud.value, q, share, min_chars)
             for batch in slices(batches):
                 yield batch.filter(pa.array([not index.leaks(t or "") for t in batch.column(place).to_pylist()], pa.bool_()))
 

@@ -301,6 +301,18 @@ def least_edits(pattern, text):
     return min(row)
 
 
+def test_leaks_each_place():
+    rnd = random.Random(9)
+    item = " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(15))
+    index = decontamination.Index([(7, item)], 8, 0.1, 50)
+    m = len(item)
+    for n in (1, 2, 40):  # places that stand side by side
+        assert index.leaks(" ".join([item] * n)) == [(7, k * (m + 1), k * (m + 1) + m, 0) for k in range(n)]
+    worn = item[:30] + "#" + item[31:]
+    assert index.leaks(f"{worn} {item} xx {worn}") == [(7, 0, m, 1), (7, m + 1, 2 * m + 1, 0), (7, 2 * m + 5, 3 * m + 5, 1)]
+    assert [e for *_, e in index.leaks(item[3:])] == [3] and [e for *_, e in index.leaks("y" + item[:-2])] == [2]  # at the ends of a text
+
+
 def test_leaks_against_all_alignments():
     rnd = random.Random(8)
     letters = "abcdef "
