@@ -42,10 +42,10 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
         from pyspark import TaskContext
 
         block, table, at = TaskContext.get().partitionId(), piece_table(tokenizer_path), {}
-        for batch in slices(batches):
+        for batch in slices(batches, 512):
             texts = batch.column("text").to_pylist()
             ids, sizes = [], []
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 1_000_000):
                 part, n = ids_of(texts[a:b], table)
                 ends = np.cumsum(n)
                 for e, k in zip(ends.tolist(), n.tolist(), strict=True):
@@ -136,6 +136,7 @@ class Plan:
         self.stride = group_windows + 1 + len(totals) // window
         self.stands: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
         self.known: OrderedDict[int, Schedule] = OrderedDict()
+        self.near: dict[int, int] = {}
         self.most = max(2, min(256, (64 << 20) // (24 * group_windows * max(1, len(totals)))))
 
     def stand(self, group: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,11 +157,15 @@ class Plan:
         return self.known[group]
 
     def group_of(self, queue: int, place: int) -> int:
+        group = self.near.get(queue, -1)
+        if group >= 0 and self.stand(group)[0][queue] <= place < self.stand(group + 1)[0][queue]:
+            return group  # as for this queue's last piece
         group = min(self.groups - 1, int(self.mixture.drawn(queue, place) / self.size))
         while self.stand(group)[0][queue] > place:
             group -= 1
         while self.stand(group + 1)[0][queue] <= place:
             group += 1
+        self.near[queue] = group
         return group
 
     def pieces(self, queue: int, place: int, n: int) -> Iterator[tuple[int, int, int, int, float]]:

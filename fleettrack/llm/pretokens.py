@@ -156,8 +156,11 @@ def distinct_pieces_of(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarra
 
 def text_of(piece: bytes) -> str:
     """The text of a piece's code points; STOP has none."""
-    code = int.from_bytes(piece[:4], "little")
-    return "" if code == STOP else SPECIAL_TEXT if code == SPECIAL else piece.decode("utf-32-le", "surrogatepass")
+    try:
+        return piece.decode("utf-32-le")
+    except UnicodeDecodeError:  # a code point past the last, or half a surrogate pair
+        code = int.from_bytes(piece[:4], "little")
+        return "" if code == STOP else SPECIAL_TEXT if code == SPECIAL else piece.decode("utf-32-le", "surrogatepass")
 
 
 _tokenizers: dict = {}
@@ -177,7 +180,7 @@ def library(tokenizer_path: str):
 class PieceTable:
     """Pieces seen by this process, by their contents: their token counts and ids. When it holds `most` pieces, the half seen most often stays."""
 
-    def __init__(self, tokenizer_path: str, most: int = 400_000):
+    def __init__(self, tokenizer_path: str, most: int = 1_000_000):
         self.encode = library(tokenizer_path)
         self.most = most
         self.clear()
@@ -216,7 +219,7 @@ class PieceTable:
             sizes = []
             unseen = [pieces[k] for k in new.tolist()]
             for a in range(0, len(unseen), 4096):
-                for x in self.encode([text_of(p).encode("utf-8", "replace").decode() for p in unseen[a : a + 4096]], add_special_tokens=False):
+                for x in self.encode([t if t.isascii() else t.encode("utf-8", "replace").decode() for t in map(text_of, unseen[a : a + 4096])], add_special_tokens=False):
                     found.extend(x.ids)
                     sizes.append(len(x.ids))
             k, rows_new = len(self.place), np.arange(len(self.place), len(self.place) + len(new))
