@@ -16,6 +16,7 @@ carried or ignored; a null source is a queue of its own; an empty table gives no
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator, Mapping
@@ -187,6 +188,17 @@ class Plan:
                 w += 1
 
 
+_plans: dict[str, Plan] = {}
+
+
+def _plan(key: str, *made_of) -> Plan:
+    """The plan of one packing; a worker process keeps the last one, with its schedules, for its next tasks."""
+    if key not in _plans:
+        _plans.clear()
+        _plans[key] = Plan(*made_of)
+    return _plans[key]
+
+
 def weights_of(totals: dict[str, int], targets: Mapping[str | None, float] | None) -> list[int]:
     """Whole-number weights of the queues, in order of their names. Queues without a target share by size what the targets leave of 1 (or come last where that is nothing)."""
     names = sorted(totals)
@@ -225,11 +237,11 @@ def pack(tokens: DataFrame, window: int = 2048, group_windows: int = 1024, targe
     else:
         placed, per_queue = placed.withColumn("queue", F.col("source")), by_source.withColumnRenamed("source", "queue")
     totals = {r["queue"]: r["tokens"] for r in per_queue.collect()}  # max_queues rows and the targets' at most
-    names, weights = sorted(totals), weights_of(totals, targets)
+    names, weights, key = sorted(totals), weights_of(totals, targets), uuid.uuid4().hex
     amounts, number = [totals[q] for q in names], {q: k for k, q in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = Plan(amounts, weights, window, group_windows)
+        plan = _plan(key, amounts, weights, window, group_windows)
         for batch in slices(batches):
             out: list[tuple] = []
             for doc, queue, x, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "x", "n", "ids")), strict=True):
