@@ -74,14 +74,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator
             if block.held > most or len(block.docs) > 60_000:
                 yield block
                 block = _Block(block.number + 1)
-    yield block
+    if block.docs:
+        yield block
 
 
 def _cut(distinct: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """(bucket, first, end) over sorted hashes; a bucket is their first `bits` bits."""
     bucket = (distinct >> np.uint64(64 - bits)).astype(np.int64)
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return list(zip(bucket[at].tolist(), at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True))
+    ends = np.append(at[1:], len(bucket))[: len(at)]  # without hashes there is no bucket
+    return list(zip(bucket[at].tolist(), at.tolist(), ends.tolist(), strict=True))
 
 
 def _width(bits: int) -> int:
@@ -174,12 +176,11 @@ def shared_sets(docs: DataFrame, size: int, share: int, most: int = 1_500_000) -
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, size, most):
-            if block.docs:
-                distinct, inverse, _ = block.distinct()
-                total = int(_wide(_low(distinct, bits), _width(bits)).sum(dtype=np.uint64).astype(np.int64))
-                ids, sizes, sigs = zip(*block.docs, strict=True)
-                values = [block.number, None, None, None, total, np.array([i is not None for i in ids], np.uint8).tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), b"".join(s.ljust(16, b"\0") for s in sigs), inverse.astype("<u4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=OWN_NAMES)
+            distinct, inverse, _ = block.distinct()
+            total = int(_wide(_low(distinct, bits), _width(bits)).sum(dtype=np.uint64).astype(np.int64))
+            ids, sizes, sigs = zip(*block.docs, strict=True)
+            values = [block.number, None, None, None, total, np.array([i is not None for i in ids], np.uint8).tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), b"".join(s.ljust(16, b"\0") for s in sigs), inverse.astype("<u4").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=OWN_NAMES)
 
     answers = docs.mapInArrow(ask, PART).groupBy("bucket").applyInPandas(_frequencies(bits), ANSWER)
     both = docs.mapInArrow(own, OWN).unionByName(answers, allowMissingColumns=True)

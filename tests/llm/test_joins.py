@@ -109,6 +109,29 @@ def test_jaccard_odd_rows(odd, odd_rows):
     assert ngram_join.jaccard_components(odd.limit(0)).count() == 0
 
 
+def test_jaccard_of_empty_partitions_and_texts_without_words(spark, tmp_path):
+    """Pieces of a file that no row group begins in have no rows; a partition's texts may have no words; a block may be full at its last row."""
+    rows = near_copies(2)
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "one"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        docs = spark.read.parquet(str(tmp_path / "one"))
+        held = docs.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+        assert 0 in held and sum(held) == len(rows)
+        got = ngram_join.jaccard_components(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows) and len(got) == len(rows)
+    for none in ([(1, ""), (2, None), (3, " \n")], [(4, None)]):
+        got = ngram_join.jaccard_components(spark.createDataFrame(none, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted(map(tuple, got)) == [(d, 0, d) for d, _ in none]
+    full = spark.createDataFrame([(5, "a b c d e f"), (6, "A b c d e f")], "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, ngram_join.shared_sets(full, 5, 80, most=1).select("doc_id", "n").collect())) == [(5, 2), (6, 2)]
+
+
 def test_trie_finds_what_pairs_find():
     rnd = random.Random(6)
     for _ in range(30):
