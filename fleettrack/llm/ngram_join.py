@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, slices, stored, text_or_empty
+from .common import delete, place_of, shuffle_width, slices, stored, text_or_empty
 from .components import components
 from .pretokens import chunks
 from .shingles import shingle_sets
@@ -91,18 +91,22 @@ def _width(bits: int) -> int:
     return -(-(KEY_BITS - bits) // 8)
 
 
-def _low(distinct: np.ndarray, bits: int) -> bytes:
-    """Of each hash the bytes behind its bucket's bits."""
-    width = _width(bits)
-    rest = (distinct << np.uint64(bits)) >> np.uint64(64 - 8 * width)
-    return rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def _low(distinct: np.ndarray, bits: int) -> np.ndarray:
+    """Of each hash the bytes behind its bucket's bits, as a number."""
+    return (distinct << np.uint64(bits)) >> np.uint64(64 - 8 * _width(bits))
+
+
+def _packed(numbers: np.ndarray, width: int) -> bytes:
+    """The last `width` bytes of numbers, as steps from one to the next: all first bytes, then all second ones. Where numbers mostly rise, high bytes are mostly zero and shrink in a shuffle."""
+    step = np.diff(numbers.astype("<u8"), prepend=np.uint64(0))
+    return step.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _wide(raw: bytes, width: int) -> np.ndarray:
-    """What `_low` gave, as numbers."""
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
+def _unpacked(raw: bytes, width: int) -> np.ndarray:
+    """What `_packed` was given."""
+    step = np.zeros((len(raw) // width, 8), np.uint8)
+    step[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64) & np.uint64((1 << 8 * width) - 1)
 
 
 def _frequencies(bits: int):
@@ -111,14 +115,13 @@ def _frequencies(bits: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """The answer of one bucket to its blocks: a code that rises with a hash's number of documents (0: one), the hashes that have more, and the sum of all that were asked for."""
         lens = np.array([len(x) // width for x in pdf["hashes"]])
-        h = _wide(b"".join(pdf["hashes"]), width)
+        h = np.concatenate([_unpacked(x, width) for x in pdf["hashes"]])
         n = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["counts"]])
         _, inverse = np.unique(h, return_inverse=True)
         code = np.minimum(255, np.rint(12 * np.log2(np.bincount(inverse, n)))).astype(np.uint8)[inverse]
         ends = np.cumsum(lens)
         codes = [code[b - k : b] for b, k in zip(ends, lens, strict=True)]
-        raw = h.view(np.uint8).reshape(-1, 8)[:, :width]
-        hashes = [raw[b - k : b][c > 0].tobytes() for b, k, c in zip(ends, lens, codes, strict=True)]
+        hashes = [_packed(h[b - k : b][c > 0], width) for b, k, c in zip(ends, lens, codes, strict=True)]
         total = [int(h[b - k : b].sum(dtype=np.uint64).astype(np.int64)) for b, k in zip(ends, lens, strict=True)]
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "codes": [c.tobytes() for c in codes], "hashes": hashes, "total": total})
 
@@ -136,12 +139,12 @@ def _shared(share: int, bits: int):
         sizes = np.frombuffer(own["sizes"], "<u4").astype(np.int64)
         sigs = [own["sigs"][k : k + 16] for k in range(0, 16 * len(ids), 16)]
         code = np.frombuffer(b"".join(answers["codes"]), np.uint8)
-        low = _wide(b"".join(answers["hashes"]), width)
+        low = np.concatenate([np.empty(0, np.uint64), *(_unpacked(x, width) for x in answers["hashes"])])
         bucket = np.repeat(answers["bucket"].to_numpy(np.uint64), [len(x) // width for x in answers["hashes"]])
         key = np.zeros(len(code), np.uint64)
         known_hash = (bucket << np.uint64(8 * width) | low) >> np.uint64(bits + 8 * width - KEY_BITS)
         key[code > 0] = code[code > 0].astype(np.uint64) << np.uint64(KEY_BITS) | known_hash
-        index = np.frombuffer(own["index"], "<u4")
+        index = _unpacked(own["index"], 4).astype(np.int64)
         asked = int(answers["total"].to_numpy(np.int64).view(np.uint64).sum(dtype=np.uint64).astype(np.int64))
         if asked != own["total"]:
             raise RuntimeError("the documents came in another order when they were read again: store them first")
@@ -172,14 +175,14 @@ def shared_sets(docs: DataFrame, size: int, share: int, most: int = 1_500_000) -
             distinct, _, count = block.distinct()
             count = np.minimum(count, 255).astype(np.uint8)
             for bucket, a, b in _cut(distinct, bits):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([block.number]), pa.array([_low(distinct[a:b], bits)]), pa.array([count[a:b].tobytes()])], names=["bucket", "block", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([block.number]), pa.array([_packed(_low(distinct[a:b], bits), _width(bits))]), pa.array([count[a:b].tobytes()])], names=["bucket", "block", "hashes", "counts"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, size, most):
             distinct, inverse, _ = block.distinct()
-            total = int(_wide(_low(distinct, bits), _width(bits)).sum(dtype=np.uint64).astype(np.int64))
+            total = int(_low(distinct, bits).sum(dtype=np.uint64).astype(np.int64))
             ids, sizes, sigs = zip(*block.docs, strict=True)
-            values = [block.number, None, None, None, total, np.array([i is not None for i in ids], np.uint8).tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), b"".join(s.ljust(16, b"\0") for s in sigs), inverse.astype("<u4").tobytes()]
+            values = [block.number, None, None, None, total, np.array([i is not None for i in ids], np.uint8).tobytes(), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), b"".join(s.ljust(16, b"\0") for s in sigs), _packed(inverse, 4)]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=OWN_NAMES)
 
     answers = docs.mapInArrow(ask, PART).groupBy("bucket").applyInPandas(_frequencies(bits), ANSWER)
@@ -283,9 +286,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: int = 80, id_col:
     """doc_id, n_shingles and component_id of every row of `docs`; links have Jaccard >= share / 100."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     sets = stored(shared_sets(rows, size, share), "shingle-sets")
+    sets_place = place_of(sets)
     classes = stored(sets.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("node")), "shingle-classes")
     held = sets.where(F.col("tokens").isNotNull()).groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     held = stored(held.join(classes.where(F.col("node").isNotNull()), "sig").select("node", "sig", "n", "tokens"), "shingle-held")
+    held_place = place_of(held)
+    sets = stored(sets.select("doc_id", "n", "sig"), "shingle-sizes")  # the tokens go on in `held` alone
+    delete(docs.sparkSession, [sets_place])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,6 +311,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: int = 80, id_col:
     counts = stored(counts, "family-sizes")
     placed = held.join(families, "node").join(counts, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     now = stored(placed.select("node", "n", "tokens", "family", "blocks", "block", F.col("node").alias("comp")), "families")
+    now_place = place_of(now)
+    delete(docs.sparkSession, [held_place])
     walk = _trie_join(share)
     wide = ["family", "block", "node", "comp", "n", "tokens"]
     links = now.select(*wide, F.lit(2).alias("role")).groupBy("family", "block").applyInPandas(walk, "a long, b long")
@@ -329,6 +338,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, share: int = 80, id_col:
             both = walkers.select(*wide, "part", F.lit(1).alias("role")).unionByName(held_here.select(*wide, "part", F.lit(0).alias("role")))
             links = both.groupBy("family", "block", "part").applyInPandas(walk, "a long, b long")
             label = stored(_connected(label, links), "family-links")
+    delete(docs.sparkSession, [now_place])
     comp = label.select("node", "comp")
     whole = classes.join(comp, "node", "left").select("sig", F.coalesce("comp", "node").alias("component_id"))
     out = sets.select("doc_id", "n", "sig").join(whole, "sig", "left")

@@ -3,9 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleettrack.llm import ngram_join
+from fleettrack.llm.common import made_since, mark
 from fleettrack.llm.components import components
 from fleettrack.llm.metric_join import range_join
 from fleettrack.llm.shingles import shingle_sets
@@ -132,6 +134,24 @@ def test_jaccard_of_empty_partitions_and_texts_without_words(spark, tmp_path):
     assert sorted(map(tuple, ngram_join.shared_sets(full, 5, 80, most=1).select("doc_id", "n").collect())) == [(5, 2), (6, 2)]
 
 
+def test_packed_numbers_shrink_and_come_back():
+    rng = np.random.default_rng(1)
+    rising = np.sort(rng.integers(0, 1 << 47, 3000, np.uint64))
+    runs = np.concatenate([np.sort(rng.choice(1_500_000, 400, replace=False)) for _ in range(200)]).astype(np.uint64)
+    for numbers, width, most in ((rising, 6, 5.2), (runs, 4, 2.2), (np.array([2**32 - 1, 0, 5, 5, 2**32 - 1], np.uint64), 4, None), (rising[:1], 6, None), (rising[:0], 6, None)):
+        raw = ngram_join._packed(numbers, width)
+        assert ngram_join._unpacked(raw, width).tolist() == numbers.tolist() and len(raw) == width * len(numbers)
+        if most:
+            assert len(pa.compress(raw, codec="lz4", asbytes=True)) < most * len(numbers)
+
+
+def test_jaccard_leaves_no_tokens_in_the_shared_folder(spark):
+    number = mark()
+    got = ngram_join.jaccard_components(spark.createDataFrame(near_copies(5), "doc_id long, text string"))
+    left = [p for p in made_since(number) if "tokens" in spark.read.parquet(p).columns]
+    assert not left and got.count() == len(near_copies(5))
+
+
 def test_trie_finds_what_pairs_find():
     rnd = random.Random(6)
     for _ in range(30):
