@@ -71,6 +71,13 @@ def test_a_stage_leaves_what_others_still_read(spark):
     assert first.count() == docs.count() >= second.count() > 0 and third.count() <= docs.count()
 
 
+def test_jaccard_stage_on_a_table_whose_partitions_are_partly_empty(spark, tables):
+    """A stage reads a table with partitions without rows as it reads any other."""
+    docs = tables[2].coalesce(1).unionByName(tables[2].where("doc_id < 0")).unionByName(tables[2].where("doc_id is null"))
+    got = corpus_pipeline.STAGES[2][1](spark, docs, SF).select("doc_id").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, tables[3].select("doc_id").collect()))
+
+
 def test_packing_stage(tables):
     pieces = tables[5].toPandas()
     assert set(pieces["doc_id"]) == {d for d, _, _ in rows(tables[4])}
