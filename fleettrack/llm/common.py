@@ -36,6 +36,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a plan may hold whose rows come in the same order whenever they are read.
+SAME_ORDER = {"Project", "Filter", "SubqueryAlias", "View", "Union", "LogicalRelation", "LocalRelation", "Range"}
+
+
+def same_order(df: DataFrame) -> bool:
+    """Whether each reading of `df` gives its rows in the same order and partitions: files and local rows, filtered at most. Shuffles deal theirs out as they arrive. False where the plan can't be seen."""
+    frame = getattr(df, "_jdf", None)
+    todo = [frame.queryExecution().analyzed()] if frame else []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in SAME_ORDER or not node.deterministic():
+            return False
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return bool(frame)
+
+
 def mark() -> int:
     """How many tables `stored` has made; for `made_since`."""
     return len(_made)

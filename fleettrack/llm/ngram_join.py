@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import delete, place_of, shuffle_width, slices, stored, text_or_empty
+from .common import delete, place_of, same_order, shuffle_width, slices, stored, text_or_empty
 from .components import components
 from .pretokens import chunks
 from .shingles import shingle_sets
@@ -285,8 +285,13 @@ def _connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, size: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`; links have Jaccard >= share / 100."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    twice = []
+    if not same_order(rows):  # blocks are made in two readings, which have to cut alike
+        rows = stored(rows, "shingle-rows")
+        twice = [place_of(rows)]
     sets = stored(shared_sets(rows, size, share), "shingle-sets")
     sets_place = place_of(sets)
+    delete(docs.sparkSession, twice)
     classes = stored(sets.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("node")), "shingle-classes")
     held = sets.where(F.col("tokens").isNotNull()).groupBy("sig").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     held = stored(held.join(classes.where(F.col("node").isNotNull()), "sig").select("node", "sig", "n", "tokens"), "shingle-held")

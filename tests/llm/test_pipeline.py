@@ -1,10 +1,13 @@
 """Every stage of the corpus pipeline against a plain version, on the smallest tables."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleettrack.llm import decontamination, toxicity
-from fleettrack.llm.common import stored
+from fleettrack.llm import decontamination, ngram_join, toxicity
+from fleettrack.llm.common import made_since, mark, same_order, stored
 
 from tests.llm.test_joins import plain_components
 from tests.llm.test_texts import least_edits, plain_dedup
@@ -78,6 +81,43 @@ def test_jaccard_stage_on_a_table_whose_partitions_are_partly_empty(spark, table
     assert sorted(map(tuple, got)) == sorted(map(tuple, tables[3].select("doc_id").collect()))
 
 
+def test_jaccard_stage_on_files_larger_than_a_task_reads(spark, tables, tmp_path):
+    """Stage 2 writes few large files, which stage 3 reads in pieces: no row group begins in most of them."""
+    tables[2].coalesce(1).write.parquet(str(tmp_path / "stage-2"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        docs = spark.read.parquet(str(tmp_path / "stage-2"))
+        assert 0 in docs.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+        got = corpus_pipeline.STAGES[2][1](spark, docs, SF).select("doc_id").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, tables[3].select("doc_id").collect()))
+
+
+def test_jaccard_stage_on_rows_that_come_in_another_order_each_time(spark, tables, monkeypatch):
+    """The result of a stage that is not stored is made anew by each reading, and a shuffle deals it out as it arrives; blocks have to be the same all the same."""
+    monkeypatch.setattr(ngram_join.shared_sets, "__defaults__", (2000,))  # several blocks to a partition
+
+    def dealt(frames):
+        for pdf in frames:
+            yield pdf.sample(frac=1, random_state=random.SystemRandom().randrange(1 << 30))
+
+    docs = tables[2].coalesce(1).mapInPandas(dealt, tables[2].schema)
+    number = mark()
+    got = corpus_pipeline.STAGES[2][1](spark, docs, SF).select("doc_id").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, tables[3].select("doc_id").collect()))
+    assert not [p for p in made_since(number) if "shingle-rows" in p]
+
+
+def test_which_rows_are_read_in_the_same_order(spark, tables):
+    docs = tables[0]
+    assert all(map(same_order, (docs, tables[2], docs.where("doc_id > 3").select("text"), docs.unionByName(docs))))
+    assert not any(map(same_order, (docs.distinct(), docs.repartition(3), docs.withColumn("r", F.rand()), docs.join(docs.select("doc_id"), "doc_id"), spark.createDataFrame(docs.rdd, docs.schema))))
+
+
 def test_packing_stage(tables):
     pieces = tables[5].toPandas()
     assert set(pieces["doc_id"]) == {d for d, _, _ in rows(tables[4])}
