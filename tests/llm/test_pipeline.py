@@ -105,10 +105,12 @@ def test_jaccard_stage_on_rows_that_come_in_another_order_each_time(spark, table
         for pdf in frames:
             yield pdf.sample(frac=1, random_state=random.SystemRandom().randrange(1 << 30))
 
-    docs = tables[2].coalesce(1).mapInPandas(dealt, tables[2].schema)
+    far = tables[2].withColumns({"doc_id": F.explode(F.expr("transform(sequence(0, 4), k -> k * 1000000L + doc_id)"))})
+    rows = stored(far.select(tables[2].columns).coalesce(1), "test-rows")
+    want = corpus_pipeline.STAGES[2][1](spark, rows, SF).select("doc_id").collect()
     number = mark()
-    got = corpus_pipeline.STAGES[2][1](spark, docs, SF).select("doc_id").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, tables[3].select("doc_id").collect()))
+    got = corpus_pipeline.STAGES[2][1](spark, rows.coalesce(1).mapInPandas(dealt, rows.schema), SF).select("doc_id").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and rows.count() == 5 * tables[2].count()
     assert not [p for p in made_since(number) if "shingle-rows" in p]
 
 
