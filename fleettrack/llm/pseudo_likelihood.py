@@ -4,7 +4,7 @@ Words are predicted from `REACH` words on each side: the sum of place-dependent
 over classes of words, then over the words of the class. A text's score is the sum of log P(word | both sides) over all its words.
 
 1. Texts are dealt to shards by a hash of id and text, sorted there, and split into words once: a piece holds some two million words as numbers
-   of its own word list. What a piece holds thus depends on the documents alone, not on how the input was cut.
+   of its own word list, with the hashes of these words. What a piece holds thus depends on the documents alone, not on how the input was cut.
 2. Every piece's word counts go to buckets by a hash of the word; a bucket adds them up over all documents and answers each piece.
    The `words` most frequent ones are predicted by the network as themselves. All others share `OTHERS` hashed places, and log P of such a word
    is that of its place plus log(its count / the count of its place), from these totals.
@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_width, slices, stored, text_or_empty
+from .pretokens import chunks
 
 REACH, HIDDEN, CLASSES, OTHERS = 2, 16, 40, 32
 SHIFTS = [s for s in range(-REACH, REACH + 1) if s]
@@ -37,10 +40,12 @@ WORD = re.compile(r"\w+|[^\w\s]")
 PARTS = 16
 #: Characters of a shard, about, and words of a piece (a shard is one piece, but where single texts or repeated rows make it large).
 SHARD_CHARS, PIECE_WORDS = 10_000_000, 4_000_000
+#: Kinds of signs up to which texts are split by blanks put around signs.
+MOST_SIGNS = 256
 #: Weights stay within these bounds.
 MOST = 8.0
 
-PIECES = "piece long, doc_ids binary, known binary, lens binary, ids binary, words binary, counts binary"
+PIECES = "piece long, doc_ids binary, known binary, lens binary, ids binary, words binary, counts binary, places binary"
 ASKED = "bucket long, piece long, words binary, at binary, counts binary"
 TOTALS = "bucket long, piece long, at binary, n binary, word string, total long"
 SCORES = "doc_id long, n_words long, log_prob double, mean_log_prob double"
@@ -65,18 +70,48 @@ def from_planes(raw: bytes) -> np.ndarray:
     return parts[0] | parts[1] << 8 | parts[2] << 16
 
 
+_signs: dict[int, str | None] = {}
+
+
+def signs_of(text: str) -> list[str]:
+    """The distinct characters of `text` that are words by themselves: neither of words nor white space."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    seen = np.zeros(int(codes.max()) + 1 if len(codes) else 0, bool)
+    seen[codes] = True
+    out = []
+    for c in np.flatnonzero(seen).tolist():
+        if c not in _signs:
+            _signs[c] = chr(c) if re.match(r"[^\w\s]", chr(c)) else None
+        if _signs[c]:
+            out.append(_signs[c])
+    return out
+
+
+def words_in(texts: list[str]) -> Iterator[list[str]]:
+    """The words of each text, in lower case: what WORD finds. Blanks around signs leave the rest to `split`, which parts words where WORD has white space; where signs are of very many kinds, WORD finds them."""
+    for a, b in chunks(texts, 1_000_000):
+        lower = [t.lower() for t in texts[a:b]]
+        joined = "\n".join([t.replace("\n", " ") for t in lower])
+        signs = signs_of(joined)
+        if len(signs) > MOST_SIGNS:
+            yield from map(WORD.findall, lower)
+            continue
+        for sign in signs:
+            joined = joined.replace(sign, f" {sign} ")
+        yield from map(str.split, joined.split("\n"))
+
+
 class _Piece:
     """Texts as numbers of the piece's own words."""
 
     def __init__(self):
         self.place: defaultdict[str, int] = defaultdict()
         self.place.default_factory = self.place.__len__
-        self.ids: list[int] = []
+        self.ids = array("i")
         self.lens: list[int] = []
         self.docs: list[int | None] = []
 
-    def add(self, doc: int | None, text: str) -> None:
-        words = WORD.findall(text.lower())
+    def add(self, doc: int | None, words: list[str]) -> None:
         self.ids.extend(map(self.place.__getitem__, words))
         self.lens.append(len(words))
         self.docs.append(doc)
@@ -85,14 +120,16 @@ class _Piece:
         return len(self.ids) >= most or len(self.place) >= 1 << 23
 
     def row(self, number: int) -> tuple:
-        ids, words = np.array(self.ids, np.int64), list(self.place)
+        ids, words = np.frombuffer(self.ids, np.int32), list(self.place)
         count = np.bincount(ids, minlength=len(words))
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
         known = np.array([d is not None for d in self.docs], np.uint8)
         docs = np.array([d or 0 for d in self.docs], "<i8")
-        return number, docs.tobytes(), known.tobytes(), np.array(self.lens, "<u4").tobytes(), planes(rank[ids]), "\n".join([words[k] for k in order.tolist()]).encode("utf-8", "surrogatepass"), count[order].astype("<u4").tobytes()
+        words = [words[k] for k in order.tolist()]
+        places = np.fromiter(map(place_of_word, words), "<u4", len(words))
+        return number, docs.tobytes(), known.tobytes(), np.array(self.lens, "<u4").tobytes(), planes(rank[ids]), "\n".join(words).encode("utf-8", "surrogatepass"), count[order].astype("<u4").tobytes(), places.tobytes()
 
 
 def words_of(raw: bytes) -> list[str]:
@@ -109,8 +146,8 @@ def pieces_of(docs: DataFrame, most: int = PIECE_WORDS) -> DataFrame:
 
         piece, number = _Piece(), TaskContext.get().partitionId() << 24
         for batch in slices(batches):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                piece.add(doc, text)
+            for doc, words in zip(batch.column("doc_id").to_pylist(), words_in(batch.column("text").to_pylist()), strict=True):
+                piece.add(doc, words)
                 if piece.full(most):
                     yield _batch(PIECES, piece.row(number))
                     piece, number = _Piece(), number + 1
@@ -134,7 +171,7 @@ def word_totals(pieces: DataFrame, words: int) -> DataFrame:
         for batch in slices(batches, 1):
             for r in batch.to_pylist():
                 every, counts = words_of(r["words"]), np.frombuffer(r["counts"], "<u4")
-                bucket = np.array([place_of_word(w) % buckets for w in every], np.int64)
+                bucket = np.frombuffer(r["places"], "<u4").astype(np.int64) % buckets
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in np.unique(bucket).tolist():
@@ -157,7 +194,7 @@ def word_totals(pieces: DataFrame, words: int) -> DataFrame:
             "total": [*[0] * size, *total[top].tolist(), int(total.sum())],
         })
 
-    asked = pieces.select("piece", "words", "counts").mapInArrow(ask, ASKED)
+    asked = pieces.select("piece", "words", "counts", "places").mapInArrow(ask, ASKED)
     return asked.groupBy("bucket").applyInPandas(answer, TOTALS)
 
 
@@ -171,21 +208,28 @@ class Vocabulary:
         kind = np.minimum((np.cumsum(mass) - mass) / mass.sum() * CLASSES, CLASSES - 1).astype(np.int64)
         self.kind = np.unique(kind, return_inverse=True)[1]
         self.edges = np.append(np.flatnonzero(np.diff(self.kind, prepend=-1)), self.size)
+        self.short_kind = self.kind.astype(np.min_scalar_type(CLASSES))  # short numbers sort in fewer steps
+
+    def ids(self, words: list[str], places: np.ndarray | None = None) -> np.ndarray:
+        """The id of each word; `places` are their `place_of_word`, where these are known."""
+        if places is None:
+            places = np.fromiter(map(place_of_word, words), "<u4", len(words))
+        found = np.fromiter(map(self.place.get, words, repeat(0)), np.int64, len(words))
+        return np.where(found > 0, found, 1 + places.astype(np.int64) % OTHERS)
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        """The id of each word."""
-        get = self.place.get
-        return np.array([get(w) or 1 + place_of_word(w) % OTHERS for w in words], np.int64)
+    def by_class(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The order of the places `at` by the class of their word."""
+        return np.argsort(self.short_kind.take(ids.take(at)), kind="stable")
 
 
 # ---- the network
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    """By column, in place."""
+def log_softmax_at(z: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each column the log softmax of its `row`; `z` is used up."""
     z -= z.max(0)
-    z -= np.log(np.exp(z).sum(0))
-    return z
+    own = z[row, np.arange(z.shape[1])]
+    return own - np.log(np.exp(z, out=z).sum(0))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -214,9 +258,9 @@ class Network:
 
     def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """(HIDDEN, targets)."""
-        x = self.tables[0][ids[at + SHIFTS[0]]]
+        x = self.tables[0].take(ids.take(at + SHIFTS[0]), axis=0)
         for k, shift in enumerate(SHIFTS[1:], 1):
-            x += self.tables[k][ids[at + shift]]
+            x += self.tables[k].take(ids.take(at + shift), axis=0)
         x = np.ascontiguousarray(x.T)
         return np.tanh(x, out=x)
 
@@ -228,19 +272,19 @@ class Network:
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log P(ids[at] | neighbours)."""
-        order = np.argsort(self.vocab.kind[ids[at]], kind="stable")
+        order = self.vocab.by_class(ids, at)
         at = at[order]
         h, y = self.hidden(ids, at), ids[at]
-        out = log_softmax(self.classes @ h + self.class_bias[:, None])[self.vocab.kind[y], np.arange(len(at))]
+        out = log_softmax_at(self.classes @ h + self.class_bias[:, None], self.vocab.kind[y])
         for a, b, i, j in self._by_class(y):
-            out[i:j] += log_softmax(self.words[a:b] @ h[:, i:j] + self.word_bias[a:b, None])[y[i:j] - a, np.arange(j - i)]
+            out[i:j] += log_softmax_at(self.words[a:b] @ h[:, i:j] + self.word_bias[a:b, None], y[i:j] - a)
         back = np.empty_like(out)
         back[order] = out
         return back
 
     def gradients(self, ids: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of the mean of -log P over the targets `at`, for each of `rows`: (the vectors' numbers, their gradients)."""
-        at = at[np.argsort(self.vocab.kind[ids[at]], kind="stable")]
+        at = at[self.vocab.by_class(ids, at)]
         h, y, n = self.hidden(ids, at), ids[at], len(at)
         p = softmax(self.classes @ h + self.class_bias[:, None])
         p[self.vocab.kind[y], np.arange(n)] -= 1
@@ -254,14 +298,13 @@ class Network:
             words[a:b] = q @ own.T
             word_bias[a:b, 0] = q.sum(1)
         back *= 1 - h * h
-        back = np.ascontiguousarray(back.T)
-        seen = np.concatenate([ids[at + shift] + k * self.vocab.size for k, shift in enumerate(SHIFTS)])
-        order = np.argsort(seen, kind="stable")
-        seen = seen[order]
-        first = np.flatnonzero(np.diff(seen, prepend=-1))
-        tables = np.add.reduceat(back[order % n], first, axis=0)
+        back = back.astype(np.float64)
+        tables = np.empty((2 * REACH, self.vocab.size, HIDDEN), np.float32)
+        for k, shift in enumerate(SHIFTS):
+            seen = ids.take(at + shift)
+            tables[k] = np.array([np.bincount(seen, of, self.vocab.size) for of in back]).T
         whole = slice(None)
-        return [(seen[first], tables / n), (whole, p @ h.T / n), (whole, p.sum(1)[:, None] / n), (whole, words / n), (whole, word_bias / n)]
+        return [(whole, tables.reshape(-1, HIDDEN) / n), (whole, p @ h.T / n), (whole, p.sum(1)[:, None] / n), (whole, words / n), (whole, word_bias / n)]
 
     def step(self, ids: np.ndarray, at: np.ndarray, rate: float) -> None:
         """One step of Adagrad, by vector, on the targets `at`."""
@@ -335,14 +378,14 @@ def train(pieces: DataFrame, vocab: Vocabulary, rounds: int = 2, rate: float = 0
             for batch in slices(batches, 1):
                 for r in batch.to_pylist():
                     net = Network(vocab, start)
-                    n = train_piece(net, vocab.ids(words_of(r["words"]))[from_planes(r["ids"])], np.frombuffer(r["lens"], "<u4").astype(np.int64), number, rounds, rate, batch_size)
+                    n = train_piece(net, vocab.ids(words_of(r["words"]), np.frombuffer(r["places"], "<u4"))[from_planes(r["ids"])], np.frombuffer(r["lens"], "<u4").astype(np.int64), number, rounds, rate, batch_size)
                     total += n * net.flat.astype(np.float64)
                     done += n
             if done:
                 task = TaskContext.get().partitionId()
                 yield _batch(WEIGHTS, *[(k, task, done, p.astype("<f8").tobytes()) for k, p in enumerate(np.array_split(total, PARTS))])
 
-        level = pieces.select("lens", "ids", "words").mapInArrow(run, WEIGHTS).groupBy("k", F.pmod("task", F.lit(salt))).applyInPandas(_add_up, WEIGHTS)
+        level = pieces.select("lens", "ids", "words", "places").mapInArrow(run, WEIGHTS).groupBy("k", F.pmod("task", F.lit(salt))).applyInPandas(_add_up, WEIGHTS)
         found = {r["k"]: (r["part"], r["n"]) for r in level.groupBy("k").applyInPandas(_add_up, WEIGHTS).collect()}  # one model
         if found:
             flat = (np.concatenate([np.frombuffer(found[k][0], "<f8") for k in range(PARTS)]) / found[0][1]).astype(np.float32)
@@ -357,7 +400,7 @@ def score(pieces: DataFrame, totals: DataFrame, net: Network, place: np.ndarray)
     def run(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         vocab, flat, place = cloud.value
         net, r = Network(vocab, flat), own.iloc[0]
-        words, lens = vocab.ids(words_of(r["words"])), np.frombuffer(r["lens"], "<u4").astype(np.int64)
+        words, lens = vocab.ids(words_of(r["words"]), np.frombuffer(r["places"], "<u4")), np.frombuffer(r["lens"], "<u4").astype(np.int64)
         count = np.zeros(len(words), np.int64)
         for at, n in zip(answers["at"], answers["n"], strict=True):
             count[np.frombuffer(at, "<u4")] = np.frombuffer(n, "<i8")
@@ -372,7 +415,7 @@ def score(pieces: DataFrame, totals: DataFrame, net: Network, place: np.ndarray)
         return pd.DataFrame({"doc_id": doc_id, "n_words": lens, "log_prob": total, "mean_log_prob": pd.Series(np.round(total / np.maximum(lens, 1), 6)).where(lens > 0)})
 
     answers = totals.where("piece >= 0").select("piece", "at", "n")
-    return pieces.select("piece", "doc_ids", "known", "lens", "ids", "words").groupBy("piece").cogroup(answers.groupBy("piece")).applyInPandas(run, SCORES)
+    return pieces.select("piece", "doc_ids", "known", "lens", "ids", "words", "places").groupBy("piece").cogroup(answers.groupBy("piece")).applyInPandas(run, SCORES)
 
 
 def pseudo_likelihood(docs: DataFrame, words: int = 2000, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -490,3 +490,26 @@ def test_rare_words_are_told_apart(spark):
     logs = {r["doc_id"]: r["log_prob"] for r in got}
     assert len(got) == len(rows) and logs[None] == 0
     assert logs[0] - logs[10] == pytest.approx(np.log(6), abs=1e-3) and logs[11] - logs[10] == pytest.approx(np.log(2), abs=1e-3)
+
+
+def test_words_in_are_those_of_the_pattern():
+    signs = "".join(map(chr, range(0x2190, 0x2190 + pseudo_likelihood.MOST_SIGNS + 1)))
+    odd = ["", "\n", "a\nb", "Don't, don't!", "x_1-y\x00z", "\x1c\x1d\x1e\x1f\x85\xa0|\u2028\u3000.\u200b", "e\u0301 \u0130\u03a3\u03a3", "\ud800 a\udfffb", "\U0001f642\U0001f642a", "\u6f22\u5b57\u3002"]
+    everything = ["".join(map(chr, range(a, a + 200))) for a in range(0, 0x3000, 200)]
+    for texts in (odd, [*odd, signs], everything, [*odd, "a, b. " * 300_000, *odd], []):
+        assert list(pseudo_likelihood.words_in(texts)) == [re.findall(r"\w+|[^\w\s]", t.lower()) for t in texts]
+
+
+def test_words_of_a_piece_are_hashed_once(spark, monkeypatch):
+    """Rounds and scores take the hashes that the pieces hold; each hashed all words anew before."""
+    df = spark.createDataFrame([(k, f"tide wind\u00fc net haul rare{k}") for k in range(50)], "doc_id long, text string")
+    rows = pseudo_likelihood.pieces_of(df).collect()
+    vocab = pseudo_likelihood.Vocabulary([("tide", 50), ("net", 50)], 150)
+    for r in rows:
+        words, places = pseudo_likelihood.words_of(r["words"]), np.frombuffer(r["places"], "<u4")
+        assert places.tolist() == [zlib.crc32(w.encode()) for w in words]
+        want = vocab.ids(words)
+        with monkeypatch.context() as m:
+            m.setattr(pseudo_likelihood, "place_of_word", None)
+            assert vocab.ids(words, places).tolist() == want.tolist()
+    assert sum(len(np.frombuffer(r["lens"], "<u4")) for r in rows) == 50
