@@ -21,6 +21,25 @@ def test_pretokens_are_the_library_s(paths, tokenizer):
         assert got == [x.ids for x in tokenizer.encode_batch(texts[a : a + 500], add_special_tokens=False)]
 
 
+def test_pieces_go_straight_to_the_library_s_model(paths, tokenizer, monkeypatch):
+    """Ids of texts as before, with no more than the marks handed over as texts of their own; every piece was one before."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    wide = ["".join(map(chr, range(a, a + 64))) for a in [*range(0, 0x3000, 64), 0xFFC0, 0x1F600, 0x10FFC0]]
+    texts = ["", *wide, "half \ud800\udfff pairs\udc80", "a<|endoftext|>b <|endoftext|>", " \n\t ", "erbeheiter ciónñadomente " * 50, "x" * 5000]
+    table, handed = pretokens.PieceTable(paths["json"]), []
+    monkeypatch.setattr(table, "encode", lambda t, encode=table.encode, **k: handed.extend(t) or encode(t, **k))
+    ids, sizes = pretokens.ids_of(texts, table)
+    got = np.split(ids, np.cumsum(sizes)[:-1])
+    assert [x.tolist() for x in got] == [x.ids for x in tokenizer.encode_batch([t.encode("utf-8", "replace").decode() for t in texts], add_special_tokens=False)]
+    assert set(handed) <= {"", "<|endoftext|>"} and len(table.place) > 500
+    letters = pretokens.letters_of([t.encode("utf-32-le") for t in wide])
+    assert letters == ["".join(x for x, _ in ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(t)) for t in wide]
+    monkeypatch.setattr(table, "merge", None)
+    pieces = [t.encode("utf-32-le", "surrogatepass") for t in (" haul", "a\ud800", "é", "net")]
+    assert table.ids(pieces) == pretokens.PieceTable(paths["json"]).ids(pieces)
+
+
 @pytest.mark.parametrize("window", [16, 64])
 def test_round_trip(spark, odd, odd_rows, paths, tokenizer, window):
     out = pack_documents(odd, paths["json"], window=window, group_windows=8).toPandas()
