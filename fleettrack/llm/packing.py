@@ -34,6 +34,8 @@ TOKENS = "block long, source string, pos long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string, owed double"
 #: Parts of a shared queue, each ordered on its own.
 SLOTS = 4096
+#: Up to so many bytes, the places where the tokens of each block and source start are sent to every executor, and the stored ids are not shuffled.
+FEW_STARTS = 16 << 20
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -46,7 +48,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
         for batch in slices(batches, 512):
             texts = batch.column("text").to_pylist()
             ids, sizes = [], []
-            for a, b in chunks(texts, 1_000_000):
+            for a, b in chunks(texts):
                 part, n = ids_of(texts[a:b], table)
                 ends = np.cumsum(n)
                 for e, k in zip(ends.tolist(), n.tolist(), strict=True):
@@ -138,7 +140,7 @@ class Plan:
         self.stands: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
         self.known: OrderedDict[int, Schedule] = OrderedDict()
         self.near: dict[int, int] = {}
-        self.most = max(2, min(256, (64 << 20) // (24 * group_windows * max(1, len(totals)))))
+        self.most = max(2, min(256, (16 << 20) // (24 * group_windows * max(1, len(totals)))))
 
     def stand(self, group: int) -> tuple[np.ndarray, np.ndarray]:
         if group not in self.stands:
@@ -169,6 +171,10 @@ class Plan:
         self.near[queue] = group
         return group
 
+    def order(self, queues: list[int], places: np.ndarray) -> np.ndarray:
+        """Rows as their first tokens leave the queues, however far the queues have got where the rows lie: each schedule is made once."""
+        return np.argsort(places / np.array(self.mixture.weights, float)[queues], kind="stable")
+
     def pieces(self, queue: int, place: int, n: int) -> Iterator[tuple[int, int, int, int, float]]:
         """(first token, number of tokens, sequence, offset, owed) for each piece of n tokens from `place` of a queue."""
         done = 0
@@ -217,9 +223,10 @@ def pack(tokens: DataFrame, window: int = 2048, group_windows: int = 1024, targe
     per_block = tokens.groupBy("block", "source").agg(F.sum("n").alias("tokens"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_block.select("block", "source", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    placed = tokens.join(starts, ["block", "source"]).withColumn("x", F.col("base") + F.col("pos"))
     by_source = per_block.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    if by_source.limit(max_queues + 1).count() > max_queues:
+    size, sources = per_block.agg(F.sum(F.octet_length("source") + 64), F.count_distinct("source")).first()
+    placed = tokens.join(F.broadcast(starts) if (size or 0) <= FEW_STARTS else starts, ["block", "source"]).withColumn("x", F.col("base") + F.col("pos"))
+    if sources > max_queues:
         own = ["" if k is None else f"={k}" for k in targets or {}]
         shared = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("string"))
         queue = F.when(F.col("source").isin(own), F.col("source")).otherwise(shared) if own else shared
@@ -242,15 +249,17 @@ def pack(tokens: DataFrame, window: int = 2048, group_windows: int = 1024, targe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = _plan(key, amounts, weights, window, group_windows)
-        for batch in slices(batches):
-            out: list[tuple] = []
-            for doc, queue, x, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "x", "n", "ids")), strict=True):
-                data = memoryview(np.frombuffer(raw, "<u2").astype("<u4").tobytes())
-                for a, size, sequence, offset, owed in plan.pieces(number[queue], x, n):
-                    out.append((doc, a, size, zlib.crc32(data[4 * a : 4 * (a + size)]), n, sequence, offset, queue, owed))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 9
-            kinds = [*[pa.int64()] * 7, pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+        for batch in slices(batches, 10_000):
+            order = plan.order([number[q] for q in batch.column("queue").to_pylist()], batch.column("x").to_numpy())
+            for first in range(0, len(order), 256):
+                rows, out = batch.take(pa.array(order[first : first + 256])), []
+                for doc, queue, x, n, raw in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "queue", "x", "n", "ids")), strict=True):
+                    data = memoryview(np.frombuffer(raw, "<u2").astype("<u4").tobytes())
+                    for a, size, sequence, offset, owed in plan.pieces(number[queue], x, n):
+                        out.append((doc, a, size, zlib.crc32(data[4 * a : 4 * (a + size)]), n, sequence, offset, queue, owed))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 9
+                kinds = [*[pa.int64()] * 7, pa.string(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
     return placed.select("doc_id", "queue", "x", "n", "ids").mapInArrow(run, PIECES)
 

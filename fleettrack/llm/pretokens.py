@@ -219,7 +219,7 @@ def model(tokenizer_path: str):
 class PieceTable:
     """Pieces seen by this process, by their contents: their token counts and ids. When it holds `most` pieces, the half seen most often stays."""
 
-    def __init__(self, tokenizer_path: str, most: int = 600_000):
+    def __init__(self, tokenizer_path: str, most: int = 300_000):
         self.encode, self.merge = library(tokenizer_path), model(tokenizer_path)
         self.most = most
         self.clear()

@@ -1,10 +1,11 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from fleettrack.llm import pretokens
+from fleettrack.llm import packing, pretokens
 from fleettrack.llm.packing import Plan, pack_documents, weights_of
 from fleettrack.llm.token_counts import token_counts
 
@@ -106,6 +107,35 @@ def test_more_sources_than_queues(spark, paths, tokenizer):
     assert others > 5 and (np.abs(hot - share * total) <= (1 + others / 2) * max(sizes.values())).all()  # each source is a document off at most, to either side
 
 
+def test_each_schedule_is_made_once(monkeypatch):
+    """However far the queues have got where the rows lie: here each of 30 has got as far as its number says, and a worker keeps two schedules."""
+    made = []
+    monkeypatch.setattr(packing, "Schedule", lambda *a, make=packing.Schedule: made.append(0) or make(*a))
+    plan = Plan([60_000] * 30, [60_000] * 30, 256, 64)
+    plan.most = 2
+    queues, places = list(range(30)) * 10, np.array([1900 * q + 100 * k for k in range(10) for q in range(30)])
+    cut = [list(plan.pieces(queues[i], int(places[i]), 100)) for i in plan.order(queues, places).tolist()]
+    assert all(sum(size for _, size, *_ in x) == 100 for x in cut)
+    assert plan.groups > 100 and len(made) <= plan.groups
+
+
+def test_stored_ids_are_not_shuffled(spark, odd, paths, monkeypatch):
+    """Where a block's tokens start goes to the ids, not the ids to it; with too many starts for that, the rows are the same."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    try:
+        found = []
+        for few, kind in ((16 << 20, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            monkeypatch.setattr("fleettrack.llm.packing.FEW_STARTS", few, raising=False)
+            out = pack_documents(odd.repartition(5, "text"), paths["json"], window=64, group_windows=4)
+            joins = set(re.findall(r"\w+Join\b", out._jdf.queryExecution().executedPlan().toString()))
+            assert joins == {kind}
+            found.append(out.toPandas().fillna(-1).sort_values(["doc_id", "sequence_id", "offset"]).values.tolist())
+        assert found[0] == found[1] and found[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def thue_morse(n):
     return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
 
